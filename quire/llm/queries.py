@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe
+from quire.llm import bpe, decontaminate, pii, secrets, spans, tokens
+from quire.llm.store import shared
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,24 @@ def _file(name: str) -> bytes:
         return f.read()
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")), tuple(r.kind for r in secrets.BASE))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared(spark, "tokens")
+    tokens.write_tokens(_table(spark, sf_dir, "documents"), _file("word_bpe_49k.json"), path, width=2)
+    return tokens.positions(tokens.read_tokens(spark, path))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.digest(pii.find_pii(_table(spark, sf_dir, "documents")), pii.BASE)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_documents(_table(spark, sf_dir, "documents"), _file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.drop("ids")
