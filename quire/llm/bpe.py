@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
@@ -93,6 +94,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 200_000) -> None:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.names = {str(v): k for k, v in ranks.items()}
         piece = PieceCache(lambda p: " ".join(map(str, encode_piece(p.encode("utf-8"), ranks))), cached)
         self.piece = piece
         self.chunk = PieceCache(lambda c: " ".join([piece[p] for p in self.split(c)]), cached)
@@ -115,6 +117,12 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def codec(ranks: bytes, pattern: str) -> Codec:
+    """One codec a Python worker: its caches serve all tasks that the worker runs."""
+    return Codec(load_ranks(ranks), pattern)
+
+
 def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (the decimal ids of the whole text, joined by one space), n_tokens, ids_sha256, decoded_sha256.
 
@@ -125,13 +133,13 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str =
     held = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def make():
-        codec = Codec(load_ranks(held.value), pattern)
-        names = {str(k): v for k, v in codec.bytes_of.items()}
+        own = codec(held.value, pattern)
+        names = own.names
 
         def step(ids, blobs):
             out = {"doc_id": ids, "ids": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for blob in blobs:
-                said = codec.encode_text(blob.decode("utf-8", "replace"))
+                said = own.encode_text(blob.decode("utf-8", "replace"))
                 parts = said.split()
                 out["ids"].append(said)
                 out["n_tokens"].append(len(parts))
