@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, decontaminate, pii, secrets, spans, tokens
+from quire.llm import bpe, decontaminate, pii, secrets, spans, tokens, warc
 from quire.llm.store import shared
 
 
@@ -18,6 +18,13 @@ def _file(name: str) -> bytes:
         return f.read()
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path, least_bytes=0)
+    read = warc.read_warc(spark, path, payload=False, verify=True)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")), tuple(r.kind for r in secrets.BASE))
 

@@ -23,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,14 +91,20 @@ class Encoder:
         return b"".join([cache[w] for w in self._split(text)]) + end
 
 
+@lru_cache(maxsize=1)
+def encoder(blob: bytes) -> Encoder:
+    """One encoder a Python worker: its caches serve all tasks that the worker runs."""
+    return Encoder(blob)
+
+
 def encode_documents(docs: DataFrame, tokenizer: bytes, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit, the end id last) of each whole text; a null text has the end id only."""
     held = docs.sparkSession.sparkContext.broadcast(tokenizer)
     end = struct.pack("<I", end_id)
 
     def make():
-        encoder = Encoder(held.value)
-        return lambda ids, blobs: {"doc_id": ids, "ids": [encoder.encode(b.decode("utf-8", "replace"), end) for b in blobs]}
+        own = encoder(held.value)
+        return lambda ids, blobs: {"doc_id": ids, "ids": [own.encode(b.decode("utf-8", "replace"), end) for b in blobs]}
 
     return map_chunks(texts(docs, id_col, text_col), "doc_id long, ids binary", make)
 
