@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, decontaminate, pii, secrets, spans, tokens, warc
+from quire.llm import bpe, decontaminate, pii, secrets, spans, tokens, topk, warc
 from quire.llm.store import shared
 
 
@@ -18,6 +18,11 @@ def _file(name: str) -> bytes:
         return f.read()
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.scaled(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("id % 100 = 0"), 10)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), path, least_bytes=0)
