@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, pii, secrets, spans, tokens, topk, warc
+from quire.llm import bpe, decontaminate, pii, secrets, simhash, spans, tokens, topk, warc
 from quire.llm.store import shared
 
 
@@ -53,5 +54,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("ids")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
