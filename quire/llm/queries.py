@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, pii, secrets, simhash, spans, tokens, topk, warc
+from quire.llm import bpe, decontaminate, pii, secrets, simhash, spans, tokens, topk, toxicity, warc
 from quire.llm.store import shared
 
 
@@ -59,5 +59,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("passages")
+
+
 def queries() -> dict:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
