@@ -187,10 +187,11 @@ def _calibrated(sample: DataFrame, model: Model) -> Model:
 
         return map_chunks(sample.select(F.col("y").cast("long").alias("doc_id"), "text"), "y long, best double, total double, raw double", make).collect()
 
-    raw = [r.raw for r in rows(model) if r.y == 0 and r.raw is not None]
+    clean = [r.raw for r in rows(model) if r.y == 0]
+    raw = [x for x in clean if x is not None]
     if len(raw) >= 20:
-        # The evidence of clean texts' best segments has a Gumbel law with scale 1: its mean is log K plus Euler's constant.
-        model.log_k = float(np.median(raw) + math.log(math.log(2)))
+        # Clean texts' evidence has a Gumbel law with scale 1: its middle value, among those that have any, gives K.
+        model.log_k += float(np.median(raw) + math.log(-math.log1p(-0.5 * len(raw) / len(clean))))
     found = rows(model)
     y = np.array([r.y for r in found], float)
     if not len(y):
