@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, pii, secrets, simhash, spans, tokens, topk, toxicity, warc
+from quire.llm import bpe, decontaminate, pii, repeats, secrets, simhash, spans, tokens, topk, toxicity, warc
 from quire.llm.store import shared
 
 
@@ -45,6 +45,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.without_repeats(_table(spark, sf_dir, "documents"), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digest(pii.find_pii(_table(spark, sf_dir, "documents")), pii.BASE)
 
