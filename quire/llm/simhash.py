@@ -30,7 +30,7 @@ from quire.llm.store import written
 SEED = 42
 BITS = 64
 #: Fingerprints in a shard before it is dealt again.
-SHARD = 2000
+SHARD = 500
 #: Hashes whose bits are counted at once; bounds memory.
 AT_ONCE = 1 << 16
 
@@ -196,7 +196,7 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 6) -> DataFrame:
     """The rows of `docs`, all their columns, of one document of each group: that with the least id.
 
     Rows without an id are kept.  Of rows that share the id that stays, one is kept.
