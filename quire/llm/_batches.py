@@ -6,13 +6,24 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Text bytes that one pass over a batch holds as Python words; bounds a worker's memory whatever the batch is.
 CHUNK_BYTES = 4 << 20
+#: Arrow batches larger than this are not asked for: a batch is held by the JVM and by its Python worker at once.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on an Arrow batch's bytes, if it is above BATCH_BYTES or unset."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, "-1")
+    size = int(held[:-1] if held.endswith("b") else held) if held.rstrip("b").lstrip("-").isdigit() else -1
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -21,6 +32,7 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     Only these columns are read, so extra columns, whatever their names, are
     pruned from the scan.
     """
+    bound_batches(df.sparkSession)
     return df.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text"),

@@ -20,7 +20,7 @@ class PieceCache(dict):
 
     def __init__(self, make: Callable, size: int = GENERATION, longest: int = LONGEST) -> None:
         super().__init__()
-        self.make, self.size, self.longest, self.old = make, size, longest, {}
+        self.make, self.size, self.left, self.longest, self.old = make, size, size, longest, {}
 
     def __missing__(self, piece):
         found = self.old.get(piece)
@@ -28,8 +28,9 @@ class PieceCache(dict):
             found = self.make(piece)
             if len(piece) > self.longest:
                 return found
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
         self[piece] = found
+        self.left -= 1
+        if not self.left:
+            self.old, self.left = dict(self), self.size
+            self.clear()
         return found

@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -52,9 +54,21 @@ SKIPPABLE, SEEK_TABLE, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 MANIFEST = "_manifest.json"
 #: Space that ends a piece for the tokenizer's pattern; the characters 1C to 1F are none.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+#: A comma or full stop that is one piece with the sign before it.
+_JOINED = re.compile(r"(?:[^\w\s]|_)[.,]\s")
 _ODD = frozenset("\x1c\x1d\x1e\x1f")
 
 
+def byte_alphabet() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte: its own, or the next one from U+0100 on."""
+    out, spare = [], 0x100
+    for b in range(256):
+        printable = 0x21 <= b <= 0x7E or (0xA1 <= b <= 0xFF and b != 0xAD)
+        out.append(chr(b) if printable else chr(spare))
+        spare += not printable
+    return out
+
+
 class Encoder:
     """A tokenizer of the tokenizers library over whole texts, by cached words.
 
@@ -62,29 +76,44 @@ class Encoder:
     drops it: the ids of a text are then those of its words, one after another.
     """
 
-    def __init__(self, blob: bytes, cached: int = 200_000) -> None:
+    def __init__(self, blob: bytes, cached: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob.decode("utf-8"))
-        self.cache, self.core = PieceCache(self._word, cached), PieceCache(self._one, cached)
+        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
+        self.cache = PieceCache(self._word, cached)
+        self.mark = {m: self._one(m) for m in ",."}
 
     def _word(self, word: str) -> bytes:
         """A word and the comma or full stop behind it are pieces of their own, and case is dropped."""
-        core = word[:-1] if word[-1] in ",." else word
-        if core.isascii() and core.isalpha():
-            core = core.lower()
-        elif not core or not unicodedata.normalize("NFC", core).lower().isalpha():  # a mark that case or form sets free joins what follows
-            return self._one(word)
-        return self.core[core] + (b"" if word[-1] not in ",." else self.core[word[-1]])
+        mark = self.mark.get(word[-1])
+        core = word if mark is None else word[:-1]
+        if core.isascii():
+            if not core.isalpha():
+                return self._one(word)
+        elif not core.isalpha() or not unicodedata.is_normalized("NFC", core) or "\u0130" in core or "\u03a3" in core:
+            return self._one(word)  # form or case may set marks free, or hang on the place
+        ids = self._letters(core.lower())
+        return ids if mark is None else ids + mark
+
+    def _letters(self, core: str) -> bytes:
+        """A piece of lower-case letters: its bytes, as the byte-level alphabet writes them, go straight to the merges."""
+        if not core.isascii():
+            core = "".join([self.alphabet[b] for b in core.encode("utf-8")])
+        return array("I", [t.id for t in self.model.tokenize(core)]).tobytes()
 
     def _one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _split(self, text: str) -> list[str]:
-        if _ODD.isdisjoint(text):
-            return text.split()
-        return [w for w in _SPACE.split(text) if w]
+        if not _ODD.isdisjoint(text):
+            return [w for w in _SPACE.split(text) if w]
+        if text.isascii() and "<|" not in text:  # nor a special token, whose case counts
+            text = text.lower()
+        if not _JOINED.search(text) and (text.isascii() or "\u0130" not in text and unicodedata.is_normalized("NFC", text)):
+            text = text.replace(", ", " , ").replace(". ", " . ")
+        return text.split()
 
     def encode(self, text: str, end: bytes) -> bytes:
         cache = self.cache
