@@ -18,11 +18,10 @@ BATCH_BYTES = 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's limit on an Arrow batch's bytes, if it is above BATCH_BYTES or unset."""
+    """Lower the session's limit on an Arrow batch's bytes to BATCH_BYTES, if it is above."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(key, "-1")
-    size = int(held[:-1] if held.endswith("b") else held) if held.rstrip("b").lstrip("-").isdigit() else -1
-    if size <= 0 or size > BATCH_BYTES:
+    size = spark.conf.get(key).rstrip("b")  # as Spark shows it: a number of bytes, unless it was set in other units
+    if not size.isdigit() or int(size) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
