@@ -218,7 +218,8 @@ def media_type(stored_format: Column | str) -> Column:
 def path_segment(x: Column | str) -> Column:
     """A decoded URL path segment; null if it is malformed, not UTF-8, a dot segment, or holds a slash, backslash or control byte."""
     v = F.try_url_decode(F.replace(_c(x), F.lit("+"), F.lit("%2B")))
-    bad = v.rlike("[\\x00-\\x1f\\x7f/\\\\]") | v.isin(".", "..") | ~F.is_valid_utf8(v)
+    broken = F.contains(v, F.lit("\ufffd")) & ~F.contains(ascii_lower(x), F.lit("%ef%bf%bd")) & ~F.contains(_c(x), F.lit("\ufffd"))
+    bad = v.rlike("[\\x00-\\x1f\\x7f/\\\\]") | v.isin(".", "..") | broken
     return F.when(~bad, v)
 
 

@@ -23,7 +23,8 @@ def regressions(baseline: DataFrame, current: DataFrame, keys: list[str], count:
     b = baseline.select(*keys, F.col(count).cast("long").alias("before"))
     c = current.select(*keys, F.col(count).cast("long").alias("now"))
     both = c.join(b, keys, "left").na.fill(0, ["before"])
-    return both.withColumn("increase", F.col("now") - F.col("before")).where(F.col("increase") > least)
+    grown = both.select(*keys, "before", "now", (F.col("now") - F.col("before")).alias("increase"))
+    return grown.where(F.col("increase") > least)
 
 
 def same_set(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

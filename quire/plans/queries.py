@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import html
 from quire.functions import text as T
 from quire.operators import catalog, diff, intervals, links, multiset, search, shelf
 
@@ -265,3 +266,15 @@ def q_folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_toc_title_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", T.toc_title("p_name").alias("title"))
+
+
+def q_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", html.visible_text("html").alias("v")).select("page_id", "v.text", "v.error")
+
+
+def q_html_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", html.html_fingerprint("html").alias("f")).select("page_id", "f.*")
+
+
+def q_page_body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", html.body_text("html").alias("body"))
