@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm._batches import map_chunks, texts
-from quire.llm.store import written
+from quire.llm.store import released, written
 
 WINDOW, GRAM = 20, 6
 #: Sorts after every document: the id of one whose id is null.
@@ -208,9 +208,12 @@ def _twins(window: int):
 def repeated(read: DataFrame, window: int, gram: int) -> DataFrame:
     """doc_id, found: an array of (tk, ranges), the words [begin, end) of that text that stand in windows which start earlier too."""
     anchors = written(_anchors(read, window, gram), "anchors")
-    often = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    often = written(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "often")
     flagged = anchors.join(often, "gram").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))  # no more than a document's words
-    pieces = _pieces(read, written(flagged, "flagged"), window, gram)
+    flagged = written(flagged, "flagged")
+    released(anchors, often)
+    pieces = written(_pieces(read, flagged, window, gram), "pieces")
+    released(flagged)
     unique = pieces.groupBy("gram", "key").agg(
         F.min(F.struct("doc_id", "start")).alias("first"), F.first("piece").alias("piece"), F.count(F.lit(1)).alias("copies")
     )

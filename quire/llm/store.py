@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,3 +39,16 @@ def written(df, name: str):
     to = shared(spark, name)
     df.write.parquet(to)
     return spark.read.schema(df.schema).parquet(to)
+
+
+def released(*tables) -> None:
+    """Delete tables that `written` made and nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        paths = context._jvm.org.apache.hadoop.fs
+        for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = paths.Path(f)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    for df in tables[:1]:
+        df.sparkSession.sparkContext._jvm.System.gc()

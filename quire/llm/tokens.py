@@ -39,9 +39,6 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
-    EqualTo,
-    Filter,
-    In,
     InputPartition,
     WriterCommitMessage,
 )
@@ -247,18 +244,11 @@ class TokenWriter(DataSourceArrowWriter):
 
 
 class TokenReader(DataSourceReader):
-    """Rows doc_id, start (ids of all documents before), n_tokens, ids; filters on doc_id choose the frames."""
+    """Rows doc_id, start (ids of all documents before), n_tokens, ids; the option doc_ids chooses the frames."""
 
     def __init__(self, options: dict) -> None:
-        self.path, self.wanted = options["path"].rstrip("/"), None
-
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("doc_id",):
-                now = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.wanted = now if self.wanted is None else self.wanted & now
-            else:
-                yield f
+        self.path = options["path"].rstrip("/")
+        self.wanted = set(json.loads(options["doc_ids"])) if "doc_ids" in options else None
 
     def partitions(self) -> list[FilePart]:
         files, path = opened(self.path)
@@ -292,7 +282,7 @@ class TokenReader(DataSourceReader):
 
 
 class TokenSource(DataSource):
-    """format("quire_tokens"): options path and, to write, width (bytes an id, 2 or 4)."""
+    """format("quire_tokens"): options path; to read, doc_ids (a JSON list); to write, width (bytes an id, 2 or 4)."""
 
     @classmethod
     def name(cls) -> str:
@@ -308,11 +298,16 @@ class TokenSource(DataSource):
         return TokenWriter(self.options, overwrite)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids of the documents in token files; filter on doc_id to decompress these only."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids of the documents in token files; of `doc_ids` only these frames are read and decompressed.
+
+    The ids are an option, not a pushed filter: Spark 4.1 keeps a Python source's
+    pushed filters with the frame, so that a later scan of it without them, or with
+    others, would lack rows.
+    """
     spark.dataSource.register(TokenSource)
-    return spark.read.format("quire_tokens").load(path)
+    read = spark.read.format("quire_tokens")
+    return (read if doc_ids is None else read.option("doc_ids", json.dumps(sorted(doc_ids)))).load(path)
 
 
 def write_tokens(docs: DataFrame, tokenizer: bytes, path: str, end_id: int = 2, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> None:

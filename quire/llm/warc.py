@@ -6,10 +6,12 @@ content's length.  A record's block is an HTTP message; a revisit keeps the
 message's headers and leaves the payload out.  Tasks write under names of their
 own and the commit lists the files that count in a manifest.
 
-Reading: a partition for each file.  Filters on the record type and on other
-headers are pushed into the source: the first bytes of a member are inflated, the
-headers parsed, and a record that is not wanted is skipped by its length without
-inflating, decoding or moving its payload.  Plain (.warc) files and archives
+Reading: a partition for each file.  Predicates on the record type and on other
+headers go into the source: the first bytes of a member are inflated, the headers
+parsed, and a record that is not wanted is skipped by its length without inflating,
+decoding or moving its payload.  They are given as an option, not as filters for
+Spark to push: Spark 4.1 keeps a Python source's pushed filters with the frame, so
+that a later scan of it without them, or with others, would lack rows.  Plain (.warc) files and archives
 without the extra field are read too.
 """
 
@@ -34,9 +36,6 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
-    EqualTo,
-    Filter,
-    In,
     InputPartition,
     WriterCommitMessage,
 )
@@ -223,16 +222,13 @@ def fields(m: Member) -> dict:
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path, self.tests = options["path"].rstrip("/"), []
+        self.path = options["path"].rstrip("/")
+        where = json.loads(options.get("where", "{}"))
+        if not where.keys() <= set(HEADER_COLUMNS):
+            raise ValueError(f"only headers can be asked for: {', '.join(HEADER_COLUMNS)}")
+        self.tests = [(c, set(values)) for c, values in where.items()]
         self.payload, self.verify = options.get("payload", "true") == "true", options.get("verify", "false") == "true"
 
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in HEADER_COLUMNS:
-                self.tests.append((f.attribute[0], {f.value} if isinstance(f, EqualTo) else set(f.value)))
-            else:
-                yield f
-
     def partitions(self) -> list[FilePart]:
         files, path = opened(self.path)
         info = files.get_file_info(path)
@@ -279,7 +275,7 @@ class WarcReader(DataSourceReader):
 
 
 class WarcSource(DataSource):
-    """format("quire_warc"): options path; payload=false leaves payloads out; verify=true checks digests."""
+    """format("quire_warc"): options path; where (JSON: header column to values); payload=false leaves payloads out; verify=true checks digests."""
 
     @classmethod
     def name(cls) -> str:
@@ -295,11 +291,11 @@ class WarcSource(DataSource):
         return WarcWriter(self.options)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True, verify: bool = False) -> DataFrame:
-    """The records of an archive folder or file; filter on header columns to skip payloads."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_warc(spark: SparkSession, path: str, payload: bool = True, verify: bool = False, where: dict[str, list] | None = None) -> DataFrame:
+    """The records of an archive folder or file; `where` keeps those whose header columns have one of the given values (None: no such header)."""
     spark.dataSource.register(WarcSource)
-    return spark.read.format("quire_warc").option("payload", str(payload).lower()).option("verify", str(verify).lower()).load(path)
+    read = spark.read.format("quire_warc").option("payload", str(payload).lower()).option("verify", str(verify).lower())
+    return read.option("where", json.dumps(where or {})).load(path)
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
