@@ -40,9 +40,9 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     size = 1
     while size < n - 1:
         size <<= 1
-    tree = [NONE] * (2 * size)
-    for i in range(n - 1):
-        tree[size + i] = get(piece[i : i + 2], NONE)
+    tree = [NONE] * size
+    tree += [get(piece[i : i + 2], NONE) for i in range(n - 1)]
+    tree += [NONE] * (2 * size - len(tree))
     for i in range(size - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a <= b else b
@@ -60,18 +60,33 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         after[i] = end
         before[end] = i
         left = before[i]
-        for at, rank in (
-            (i, get(piece[i : after[end]], NONE) if end < n else NONE),
-            (j, NONE),
-            (left, get(piece[left:end], NONE) if left >= 0 else NONE),
-        ):
-            if at < 0 or at >= n - 1:
-                continue
-            at += size
-            tree[at] = rank
+        tree[size + i] = get(piece[i : after[end]], NONE) if end < n else NONE
+        if j < n - 1:
+            at = size + j
+            tree[at] = NONE
             while at > 1:
                 at >>= 1
-                a, b = tree[2 * at], tree[2 * at + 1]
+                a, b = tree[at + at], tree[at + at + 1]
+                if b < a:
+                    a = b
+                if tree[at] == a:
+                    break
+                tree[at] = a
+        at = size + i
+        while at > 1:
+            at >>= 1
+            a, b = tree[at + at], tree[at + at + 1]
+            if b < a:
+                a = b
+            if tree[at] == a:
+                break
+            tree[at] = a
+        if left >= 0:
+            at = size + left
+            tree[at] = get(piece[left:end], NONE)
+            while at > 1:
+                at >>= 1
+                a, b = tree[at + at], tree[at + at + 1]
                 if b < a:
                     a = b
                 if tree[at] == a:
@@ -95,7 +110,7 @@ class Codec:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.names = {str(v): k for k, v in ranks.items()}
-        piece = PieceCache(lambda p: " ".join(map(str, encode_piece(p.encode("utf-8"), ranks))), cached)
+        piece = PieceCache(lambda p: " ".join(map(str, encode_piece(p.encode("utf-8"), ranks))), 2 * cached)
         self.piece = piece
         self.chunk = PieceCache(lambda c: " ".join([piece[p] for p in self.split(c)]), cached)
 
