@@ -67,10 +67,16 @@ def deduplicated_names(df: DataFrame, stem: str, order: str) -> DataFrame:
 
 
 def upper_median(df: DataFrame, part: list[str], value: str) -> DataFrame:
-    """(part..., median, n): the value at index n / 2 of the sorted ones, the upper of two middle ones."""
+    """(part..., median, n): the value at index n / 2 of the sorted ones, the upper of two middle ones.
+
+    Equal values are counted before the shuffle, so a part weighs as many rows as it has different values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(*part)
-    ranked = df.where(F.col(value).isNotNull()).select(*part, value, F.row_number().over(w.orderBy(value)).alias("__r"), F.count(F.lit(1)).over(w).alias("n"))
-    return ranked.where(F.col("__r") == F.floor(F.col("n") / 2) + 1).select(*part, F.col(value).alias("median"), "n")
+    upto = F.sum("__c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select(*part, value, "__c", upto.alias("__u"), F.sum("__c").over(w).alias("n"))
+    middle = F.floor(F.col("n") / 2)
+    return ranked.where((F.col("__u") - F.col("__c") <= middle) & (middle < F.col("__u"))).select(*part, F.col(value).alias("median"), "n")
 
 
 def book_titles(df: DataFrame) -> DataFrame:
