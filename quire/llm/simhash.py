@@ -35,18 +35,18 @@ SHARD = 500
 AT_ONCE = 1 << 16
 
 
-def hashes(text: bytes, shingle: int) -> list[int]:
-    """XXH64 of each run of `shingle` words (of all words, if fewer), A-Z lower-cased."""
+def shingles(text: bytes, size: int) -> list[bytes]:
+    """Each run of `size` words (all words, if fewer), joined by a space, A-Z lower-cased."""
     words = text.lower().split()
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return [digest(b" ".join(words), SEED)] if words else []
-    return [digest(b" ".join(w), SEED) for w in zip(*(islice(words, k, None) for k in range(shingle)), strict=False)]
+    if len(words) <= size:
+        return [b" ".join(words)] if words else []
+    return [b" ".join(w) for w in zip(*(islice(words, k, None) for k in range(size)), strict=False)]
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """The fingerprint as a signed 64-bit number; that of a text without words is 0."""
-    found = hashes(text, shingle)
+def fingerprint(runs: list[bytes], seed: int = SEED) -> int:
+    """The fingerprint of some shingles as a signed 64-bit number, by XXH64; that of none is 0."""
+    digest = xxhash.xxh64_intdigest
+    found = [digest(s, seed) for s in runs]
     if not found:
         return 0
     counts = np.zeros(BITS, np.int64)
@@ -56,13 +56,17 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(counts * 2 > len(found)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (long) of each whole text."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """doc_id, fps (array of long, one a seed) of each whole text."""
 
     def make():
-        return lambda ids, blobs: {"doc_id": ids, "fp": [fingerprint(b, shingle) for b in blobs]}
+        def step(ids, blobs):
+            held = [shingles(b, shingle) for b in blobs]
+            return {"doc_id": ids, "fps": [[fingerprint(x, s) for s in seeds] for x in held]}
+
+        return step
 
-    return map_chunks(texts(docs, id_col, text_col), "doc_id long, fp long", make)
+    return map_chunks(texts(docs, id_col, text_col), "doc_id long, fps array<long>", make)
 
 
 class BKTree:
@@ -182,7 +186,7 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "do
     its component is null.  Rows that repeat are each reported; rows that share an
     id but not a text are linked where that id is the least of both.
     """
-    found = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    found = written(fingerprints(docs, shingle, id_col, text_col).select("doc_id", F.col("fps")[0].alias("fp")), "fingerprints")
     nodes = written(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     joined = components(links(nodes, radius))
     classes = nodes.join(joined, nodes["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
@@ -196,15 +200,24 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 6) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 6, seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2)) -> DataFrame:
     """The rows of `docs`, all their columns, of one document of each group: that with the least id.
 
-    Rows without an id are kept.  Of rows that share the id that stays, one is kept.
+    Documents are linked whose fingerprints by any of the seeds are within `radius`
+    bits: near copies whose one fingerprint strays are found by another.  Rows
+    without an id are kept.  Of rows that share the id that stays, one is kept.
     """
-    found = groups(docs, shingle, radius)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
+    found = written(fingerprints(docs, shingle, seeds=seeds).where("doc_id is not null"), "fingerprints")
+    linked = None
+    for k in range(len(seeds)):
+        own = found.select("doc_id", F.col("fps")[k].alias("fp"))
+        nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+        same = own.join(nodes, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        both = same.unionByName(links(nodes, radius))
+        linked = both if linked is None else linked.unionByName(both)
+    gone = components(linked).where("node <> component").select(F.col("node").alias("__gone_id")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+    if found.groupBy("doc_id").count().where("count > 1").take(1):
         named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
         kept = named.unionByName(kept.where("doc_id is null"))
     return kept
