@@ -17,6 +17,17 @@ CHUNK_BYTES = 4 << 20
 BATCH_BYTES = 16 << 20
 
 
+#: Caches that a worker keeps from task to task: owner to what empties its cache.
+RESIDENT: dict[str, Callable[[], None]] = {}
+
+
+def settle(owner: str | None = None) -> None:
+    """Called as a task begins: a worker that turns to other work lets go of the caches of what it did before."""
+    for name, clear in RESIDENT.items():
+        if name != owner:
+            clear()
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's limit on an Arrow batch's bytes to BATCH_BYTES, if it is above."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -58,6 +69,7 @@ def map_chunks(
     schema: str | StructType,
     make: Callable[[], Callable[[list, list[bytes]], dict[str, Any] | None]],
     limit: int = CHUNK_BYTES,
+    owner: str | None = None,
 ) -> DataFrame:
     """Apply make()(ids, texts) -> columns to each chunk of a `texts` frame.
 
@@ -67,6 +79,7 @@ def map_chunks(
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(owner)
         step = make()
         for ids, blobs in chunks(batches, limit):
             out = step(ids, blobs)

@@ -17,7 +17,7 @@ from functools import lru_cache
 import regex
 from pyspark.sql import DataFrame
 
-from quire.llm._batches import map_chunks, texts
+from quire.llm._batches import RESIDENT, map_chunks, texts
 from quire.llm.pieces import PieceCache
 
 NONE = 1 << 60
@@ -106,7 +106,7 @@ class Codec:
     without runs of spaces can be cut before each space and each cut cached.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 200_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 150_000) -> None:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.names = {str(v): k for k, v in ranks.items()}
@@ -138,6 +138,9 @@ def codec(ranks: bytes, pattern: str) -> Codec:
     return Codec(load_ranks(ranks), pattern)
 
 
+RESIDENT["bpe"] = codec.cache_clear
+
+
 def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (the decimal ids of the whole text, joined by one space), n_tokens, ids_sha256, decoded_sha256.
 
@@ -164,4 +167,4 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str =
 
         return step
 
-    return map_chunks(texts(docs, id_col, text_col), "doc_id long, ids string, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return map_chunks(texts(docs, id_col, text_col), "doc_id long, ids string, n_tokens long, ids_sha256 string, decoded_sha256 string", make, owner="bpe")

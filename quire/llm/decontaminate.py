@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._batches import map_chunks, texts
+from quire.llm._batches import map_chunks, settle, texts
 
 #: UTF-8 form of the word pattern [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z are lower-cased: other bytes become spaces.
 FOLD = bytes(
@@ -235,6 +235,7 @@ def _report(hits: DataFrame, least_items: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        settle(None)
         for b in batches:
             ids, n, hit, items = (b.column(k).to_pylist() for k in range(4))
             items = [sorted(str(k) for k in set(x)) for x in items]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._batches import map_chunks, texts
+from quire.llm._batches import map_chunks, settle, texts
 from quire.llm.store import released, written
 
 WINDOW, GRAM = 20, 6
@@ -112,6 +112,7 @@ def _pieces(read: DataFrame, flagged: DataFrame, window: int, gram: int) -> Data
     rows = read.join(flagged, "doc_id").select("doc_id", "text", "tk", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             ids, text, tks, places = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)
             out: dict[str, list] = {k: [] for k in ("gram", "piece", "key", "tk", "doc_id", "start", "n")}
@@ -180,6 +181,7 @@ def _twins(window: int):
     (key, doc_id, start, twins): the ranges of words in windows with earlier twins, of pieces that need a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         gram, tree = None, None
         for batch in batches:
             grams, keys, pieces, ids, starts, copies = (batch.column(k).to_pylist() for k in range(6))
@@ -241,6 +243,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     rows = read.join(repeated(read, window, gram), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             ids, text, tks, found = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)
             for lo in range(0, len(ids), 500):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import trigrams
-from quire.llm._batches import map_chunks, texts
+from quire.llm._batches import bound_batches, map_chunks, settle, texts
 from quire.llm.spans import SPAN, masked
 
 
@@ -88,6 +88,7 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     def run(batches):
         import pyarrow as pa
 
+        settle()
         scanner = Scanner(rules)
         for batch in batches:
             at = batch.schema.names.index(text_col)
@@ -104,4 +105,5 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
 
     if len({c.lower() for c in docs.columns}) < len(docs.columns) or text_col not in docs.columns:
         raise ValueError("mask_secrets needs distinct column names and the text column")
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema).select([F.col(f"`{c}`") for c in docs.columns])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._batches import map_chunks, texts
+from quire.llm._batches import map_chunks, settle, texts
 from quire.llm.components import Forest, components
 from quire.llm.store import written
 
@@ -60,11 +60,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """doc_id, fps (array of long, one a seed) of each whole text."""
 
     def make():
-        def step(ids, blobs):
-            held = [shingles(b, shingle) for b in blobs]
-            return {"doc_id": ids, "fps": [[fingerprint(x, s) for s in seeds] for x in held]}
+        def each(text):
+            held = shingles(text, shingle)
+            return [fingerprint(held, s) for s in seeds]
 
-        return step
+        return lambda ids, blobs: {"doc_id": ids, "fps": [each(b) for b in blobs]}
 
     return map_chunks(texts(docs, id_col, text_col), "doc_id long, fps array<long>", make)
 
@@ -117,6 +117,7 @@ def _linked(radius: int):
     """Sorted rows (mask, value, fp, rep) to links of each task's spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         forest, key, tree, rep = Forest(), None, BKTree(), {}
         first: tuple[int, int] | None = None
         for batch in batches:

@@ -43,7 +43,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from quire.llm._batches import map_chunks, texts
+from quire.llm._batches import RESIDENT, map_chunks, texts
 from quire.llm.pieces import PieceCache
 from quire.llm.store import opened
 
@@ -123,6 +123,9 @@ def encoder(blob: bytes) -> Encoder:
     return Encoder(blob)
 
 
+RESIDENT["tokens"] = encoder.cache_clear
+
+
 def encode_documents(docs: DataFrame, tokenizer: bytes, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit, the end id last) of each whole text; a null text has the end id only."""
     held = docs.sparkSession.sparkContext.broadcast(tokenizer)
@@ -132,7 +135,7 @@ def encode_documents(docs: DataFrame, tokenizer: bytes, end_id: int = 2, id_col:
         own = encoder(held.value)
         return lambda ids, blobs: {"doc_id": ids, "ids": [own.encode(b.decode("utf-8", "replace"), end) for b in blobs]}
 
-    return map_chunks(texts(docs, id_col, text_col), "doc_id long, ids binary", make)
+    return map_chunks(texts(docs, id_col, text_col), "doc_id long, ids binary", make, owner="tokens")
 
 
 @dataclass

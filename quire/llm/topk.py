@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm._batches import settle
+
 #: Vectors in a shard, and queries in a block.
 SHARD, BLOCK = 1 << 15, 1 << 12
 #: Segments in a dimension of a shard.
@@ -94,6 +96,7 @@ def _pack(size: int):
     """Rows (id, values) to packed rows (n, dims, ids, values), each of at most `size` vectors of one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         held: dict[int, list] = {}
 
         def packed(dims: int) -> pa.RecordBatch:
@@ -125,6 +128,7 @@ def _pack(size: int):
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         last, shard = None, None
         for batch in batches:
             for row in batch.to_pylist():
