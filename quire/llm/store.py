@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyarrow import fs
@@ -49,6 +50,8 @@ def released(*tables) -> None:
         for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
             path = paths.Path(f)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
     for df in tables[:1]:
-        df.sparkSession.sparkContext._jvm.System.gc()
+        for _ in range(2):  # Python lets go of a plan, then the JVM; its cleaner then needs a moment to delete the files
+            gc.collect()
+            df.sparkSession.sparkContext._jvm.System.gc()
+            time.sleep(1)
