@@ -15,6 +15,7 @@ its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import islice
 
 import numpy as np
@@ -23,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import similar
 from quire.llm._batches import map_chunks, settle, texts
 from quire.llm.components import Forest, components
 from quire.llm.store import written
@@ -201,22 +203,44 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 6, seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2)) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 6, seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2), least: float = 0.8) -> DataFrame:
     """The rows of `docs`, all their columns, of one document of each group: that with the least id.
 
     Documents are linked whose fingerprints by any of the seeds are within `radius`
-    bits: near copies whose one fingerprint strays are found by another.  Rows
-    without an id are kept.  Of rows that share the id that stays, one is kept.
+    bits, and all whose sets of shingles have a Jaccard similarity of `least` or
+    more.  Rows without an id are kept.  Of rows that share the id that stays, one
+    is kept.
     """
-    found = written(fingerprints(docs, shingle, seeds=seeds).where("doc_id is not null"), "fingerprints")
+    share = Fraction(str(least))
+    sets = lambda text: similar.hashed(shingles(text, shingle), SEED)
+    read = texts(docs).where("doc_id is not null")
+    seen = docs.sparkSession.sparkContext.broadcast(similar.counts(read, sets))
+
+    def make():
+        def each(text):
+            held = shingles(text, shingle)
+            found = similar.hashed(held, SEED)
+            key = xxhash.xxh64_intdigest(text, SEED)  # as Spark's xxhash64 has it
+            return _signed(key), similar.node_of(found), len(found), similar.prefix(found, seen.value, share), [fingerprint(held, s) for s in seeds]
+
+        return lambda ids, blobs: {"doc_id": ids} | dict(zip(("text_key", "node", "n", "prefix", "fps"), zip(*map(each, blobs), strict=True), strict=True))
+
+    found = written(map_chunks(read, "doc_id long, text_key long, node long, n long, prefix array<long>, fps array<long>", make), "fingerprints")
+    one = F.min(F.struct("doc_id", "text_key", "n", "prefix", "fps")).alias("one")
+    nodes = written(found.groupBy("node").agg(one).select("node", "one.*"), "nodes")
     linked = None
     for k in range(len(seeds)):
-        own = found.select("doc_id", F.col("fps")[k].alias("fp"))
-        nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-        same = own.join(nodes, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        both = same.unionByName(links(nodes, radius))
+        own = nodes.select("node", F.col("fps")[k].alias("fp"))
+        reps = written(own.groupBy("fp").agg(F.min("node").alias("rep")), "nodes")
+        same = own.join(reps, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        both = same.unionByName(links(reps, radius))
         linked = both if linked is None else linked.unionByName(both)
-    gone = components(linked).where("node <> component").select(F.col("node").alias("__gone_id")).distinct()
+    linked = written(linked, "links")
+    linked = similar.similar(nodes, read, nodes.select("node", "doc_id", "text_key"), sets, share, linked)
+    joined = components(linked)
+    placed = found.select("doc_id", "node").join(joined, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    first = placed.groupBy("component").agg(F.min("doc_id").alias("first"))
+    gone = placed.join(first, "component").where("doc_id <> first").select(F.col("doc_id").alias("__gone_id")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
     if found.groupBy("doc_id").count().where("count > 1").take(1):
         named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])

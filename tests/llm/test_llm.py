@@ -354,6 +354,35 @@ def test_simhash_edges(spark, edges):
     assert simhash.groups(edges.limit(0)).count() == 0
 
 
+def jaccards(rows, least=0.8):
+    """(a, b) of all pairs of different shingle sets with that similarity, by brute force."""
+    held = {d: set(simhash.shingles((t or "").encode(), 5)) for d, t in rows}
+    return {(a, b) for a in held for b in held if a < b and held[a] != held[b] and (n := len(held[a] & held[b])) >= least * (len(held[a]) + len(held[b]) - n)}
+
+
+def near_copies():
+    """A text and copies with more and more words changed, and others; (doc_id, text)."""
+    random.seed(5)
+    rows = []
+    for g in range(12):
+        base = [f"w{random.randrange(3000)}" for _ in range(random.choice([30, 120, 400]))]
+        for k in range(8):
+            own = list(base)
+            for i in random.sample(range(len(own)), k * len(own) // 200):
+                own[i] = f"e{random.randrange(10**6)}"
+            own = own[: len(own) - random.choice([0, 0, len(own) // 12])]
+            rows.append((len(rows), " ".join(own)))
+    random.shuffle(rows)
+    return rows
+
+
+def test_near_copies_are_all_found(spark):
+    rows = near_copies()
+    pairs = jaccards(rows)
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 50 and not [p for p in pairs if p[0] in kept and p[1] in kept]
+
+
 # 9
 
 
