@@ -116,12 +116,13 @@ def _dealt(rows: DataFrame, masks: Column) -> DataFrame:
 
 
 def _linked(radius: int):
-    """Sorted rows (mask, value, fp, rep) to links of each task's spanning forest."""
+    """Sorted rows (mask, value, fp, rep) to links of each task's spanning forest, each of two that are within the radius."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         forest, key, tree, rep = Forest(), None, BKTree(), {}
         first: tuple[int, int] | None = None
+        out: list[tuple[int, int]] = []
         for batch in batches:
             mask, value, fp, ids = (batch.column(k).to_numpy() for k in range(4))
             same = np.concatenate([[False], (mask[1:] == mask[:-1]) & (value[1:] == value[:-1])])
@@ -140,13 +141,13 @@ def _linked(radius: int):
                     tree.add(first[0])
                     rep[first[0]] = first[1]
                 for y in tree.within(x, radius):
-                    forest.join(own, rep[y])
+                    if forest.join(own, rep[y]):
+                        out.append((own, rep[y]))
                 tree.add(x)
                 rep[x] = own
-        nodes = list(forest.up)
-        for i in range(0, len(nodes), 10_000):
-            part = nodes[i : i + 10_000]
-            yield pa.RecordBatch.from_pydict({"a": pa.array(part, pa.int64()), "b": pa.array(map(forest.root, part), pa.int64())})
+        for i in range(0, len(out), 10_000):
+            a, b = zip(*out[i : i + 10_000], strict=True)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -206,9 +207,9 @@ def hexed(fp: Column) -> Column:
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 6, seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2), least: float = 0.8) -> DataFrame:
     """The rows of `docs`, all their columns, of one document of each group: that with the least id.
 
-    Documents are linked whose fingerprints by any of the seeds are within `radius`
-    bits, and all whose sets of shingles have a Jaccard similarity of `least` or
-    more.  Rows without an id are kept.  Of rows that share the id that stays, one
+    Documents are linked whose sets of shingles have a Jaccard similarity of `least`
+    or more.  Fingerprints within `radius` bits by any of the seeds are candidates,
+    whose similarity is computed, and a join of prefixes finds the others.  Rows without an id are kept.  Of rows that share the id that stays, one
     is kept.
     """
     share = Fraction(str(least))
@@ -235,8 +236,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 6, seeds: tuple
         same = own.join(reps, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
         both = same.unionByName(links(reps, radius))
         linked = both if linked is None else linked.unionByName(both)
-    linked = written(linked, "links")
-    linked = similar.similar(nodes, read, nodes.select("node", "doc_id", "text_key"), sets, share, linked)
+    sources = nodes.select("node", "doc_id", "text_key")
+    linked = similar.similar(nodes, read, sources, sets, share, similar.verified(linked, read, sources, sets, share))
     joined = components(linked)
     placed = found.select("doc_id", "node").join(joined, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     first = placed.groupBy("component").agg(F.min("doc_id").alias("first"))

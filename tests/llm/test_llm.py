@@ -383,6 +383,19 @@ def test_near_copies_are_all_found(spark):
     assert len(pairs) > 50 and not [p for p in pairs if p[0] in kept and p[1] in kept]
 
 
+def test_only_near_copies_go(spark):
+    random.seed(6)
+    rows = []
+    for _ in range(10):  # one word in 40 differs: similarity about 0.6 to 0.75, fingerprints often within six bits
+        base = [f"w{random.randrange(3000)}" for _ in range(400)]
+        for k in range(6):
+            rows.append((len(rows), " ".join(f"e{k}" if k and i % 40 == k else w for i, w in enumerate(base))))
+    forest = Forest()
+    for a, b in jaccards(rows):
+        forest.join(a, b)
+    assert {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {d for d, _ in rows if forest.root(d) == d}
+
+
 # 9
 
 
