@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -49,6 +49,17 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     )
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A number of a row's id and text: what is decided of a text removes its rows, not others of that id or without one."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")))
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of `docs` whose row_key is not a doc_id of `bad`."""
+    gone = bad.select(F.col("doc_id").alias("__gone_key")).distinct()
+    return docs.join(gone, row_key() == F.col("__gone_key"), "left_anti")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """(ids, texts as bytes) of at most `limit` bytes, or of one longer text."""
     for batch in batches:

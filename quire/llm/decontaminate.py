@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._batches import map_chunks, settle, texts
+from quire.llm._batches import map_chunks, row_key, settle, texts, without
 
 #: UTF-8 form of the word pattern [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z are lower-cased: other bytes become spaces.
 FOLD = bytes(
@@ -290,9 +290,5 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_c
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2) -> DataFrame:
-    """The rows of `docs`, all their columns, whose document is not contaminated.
-
-    A document id that repeats is kept only if each of its rows is clean.
-    """
-    bad = scan(docs, benchmark, window, least_items).where("contaminated").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]), "left_anti")
+    """The rows of `docs`, all their columns, whose own text is not contaminated."""
+    return without(docs, scan(docs.withColumn("__key", row_key()), benchmark, window, least_items, id_col="__key").where("contaminated"))

@@ -209,8 +209,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 6, seeds: tuple
 
     Documents are linked whose sets of shingles have a Jaccard similarity of `least`
     or more.  Fingerprints within `radius` bits by any of the seeds are candidates,
-    whose similarity is computed, and a join of prefixes finds the others.  Rows without an id are kept.  Of rows that share the id that stays, one
-    is kept.
+    whose similarity is computed, and a join of prefixes finds the others.  Rows without an id are kept.  Of rows that share an id, each text is a
+    document of its own; rows that repeat in both are one.
     """
     share = Fraction(str(least))
     sets = lambda text: similar.hashed(shingles(text, shingle), SEED)
@@ -239,11 +239,13 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 6, seeds: tuple
     sources = nodes.select("node", "doc_id", "text_key")
     linked = similar.similar(nodes, read, sources, sets, share, similar.verified(linked, read, sources, sets, share))
     joined = components(linked)
-    placed = found.select("doc_id", "node").join(joined, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    first = placed.groupBy("component").agg(F.min("doc_id").alias("first"))
-    gone = placed.join(first, "component").where("doc_id <> first").select(F.col("doc_id").alias("__gone_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").take(1):
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    placed = found.select("doc_id", "text_key", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    gone = placed.join(first, "component").where("struct(doc_id, text_key) <> first")
+    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct()
+    key = F.xxhash64(F.coalesce(docs["text"].cast("binary"), F.lit("").cast("binary")))
+    kept = docs.join(gone, (docs["doc_id"].cast("long") == gone["__gone_id"]) & (key == gone["__gone_key"]), "left_anti")
+    if found.groupBy("doc_id", "text_key").count().where("count > 1").take(1):
+        named = kept.where("doc_id is not null").withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key")
         kept = named.unionByName(kept.where("doc_id is null"))
     return kept

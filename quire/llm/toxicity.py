@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._batches import map_chunks, texts
+from quire.llm._batches import map_chunks, row_key, texts, without
 from quire.llm.decontaminate import words
 
 #: Labelled rows that the classifier is fitted on at most: those whose hashed ids are least.
@@ -231,6 +231,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs`, all their columns, whose document is not predicted toxic."""
-    bad = score(docs, train(docs, labels), threshold).where("predicted = 1").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]), "left_anti")
+    """The rows of `docs`, all their columns, whose own text is not predicted toxic."""
+    scored = score(docs.withColumn("__key", row_key()), train(docs, labels), threshold, id_col="__key")
+    return without(docs, scored.where("predicted = 1"))

@@ -498,6 +498,21 @@ def test_pipeline_stages(spark):
     assert seen["secrets"][0] == seen["secrets"][1] == seen["tokens"][1]
 
 
+def test_only_the_rows_found_bad_go(spark, monkeypatch):
+    clean, item = "nothing of note in here", "one two three four five six seven eight nine"
+    rows = [(None, clean), (None, f"x {item}"), (7, f"y {item} z"), (7, clean), (8, "quite another text")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=repr)
+    fine = sorted([rows[0], rows[3], rows[4]], key=repr)
+    assert left(decontaminate.remove_contaminated(docs, bench, least_items=1)) == fine
+    model = toxicity.Model({b"seven": 9.0})
+    model.weights = (-1.0, 5.0, 0.0)
+    monkeypatch.setattr(toxicity, "train", lambda *_: model)
+    assert left(toxicity.without_toxic(docs, bench)) == fine
+    assert left(simhash.one_of_each(docs)) == sorted(rows, key=repr)
+    assert left(simhash.one_of_each(docs.unionByName(docs.where("doc_id = 7")))) == sorted(rows, key=repr)
+
+
 def test_pipeline_edges(spark, edges):
     import corpus_pipeline
 
