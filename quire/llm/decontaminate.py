@@ -134,7 +134,7 @@ class Shard:
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:
     """Items in blocks of at most `limit` bytes (or one item), read one partition at a time."""
     held, size = [], 0
-    for row in texts(benchmark.where(F.col(id_col).isNotNull()), id_col, text_col).distinct().orderBy("doc_id", "text").toLocalIterator():
+    for row in texts(benchmark, id_col, text_col).distinct().orderBy("doc_id", "text").toLocalIterator():
         if held and size + len(row[1]) > limit:
             yield held
             held, size = [], 0
@@ -205,8 +205,9 @@ def scan(
 
     A null or empty text, or one without words, has n_words 0 and no items; an
     item without words matches nothing; item rows that repeat count once; items
-    with a null id are left out, having no name to report.  An empty benchmark
-    leaves every document clean.  Document rows that repeat are each reported.
+    with a null id match as any, count as one in n_items, and are left out of
+    items_sha256, having no name to report.  An empty benchmark leaves every
+    document clean.  Document rows that repeat are each reported.
     Nothing is shuffled unless the benchmark needs more than one block.
     """
     item_id, item_text = benchmark.columns[0] if "item_id" not in benchmark.columns else "item_id", "text"
@@ -238,14 +239,15 @@ def _report(hits: DataFrame, least_items: int) -> DataFrame:
         settle(None)
         for b in batches:
             ids, n, hit, items = (b.column(k).to_pylist() for k in range(4))
-            items = [sorted(str(k) for k in set(x)) for x in items]
+            items = [set(x) for x in items]
+            names = [sorted(str(k) for k in x if k is not None) for x in items]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(ids, pa.int64()),
                     "n_words": pa.array(n, pa.int64()),
                     "n_hit": pa.array(map(_merge, hit), pa.int64()),
                     "n_items": pa.array(map(len, items), pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+                    "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
                     "contaminated": pa.array([len(x) >= least_items for x in items], pa.bool_()),
                 }
             )
@@ -257,11 +259,12 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_c
     """item_id, item_pos, n_words, doc_id, doc_pos: each test suffix's longest verbatim match over all shards.
 
     Positions count words from 0; ties go to the smallest (doc_id, doc_pos).  A
-    test suffix without a match of a whole window has no row.
+    test suffix without a match of a whole window has no row, nor has an item
+    without an id.
     """
     read = texts(docs, id_col, text_col)
     out = None
-    for rows in _blocks(benchmark, "item_id", "text", BLOCK_BYTES):
+    for rows in _blocks(benchmark.where("item_id is not null"), "item_id", "text", BLOCK_BYTES):
         held = docs.sparkSession.sparkContext.broadcast((rows, window))
 
         def make(held=held):

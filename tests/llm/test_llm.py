@@ -193,6 +193,24 @@ def test_decontamination(spark, block):
     assert decontaminate.scan(d.limit(0), b).count() == 0
 
 
+@pytest.mark.parametrize("block", [8 << 20, 40])
+def test_items_without_an_id_match(spark, block):
+    import duckdb
+    from quire.llm import oracles
+
+    docs = [(1, "x one two three four five six seven eight y"), (2, "b1 b2 b3"), (3, "nothing"), (4, "a1 a2 b1 b2 b3 one two three four five six seven eight")]
+    items = [(None, "one two three four five six seven eight"), (None, "a1 a2"), (5, "b1 b2 b3")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    with duckdb.connect() as db:
+        for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+            db.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+            db.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+        want = sorted(db.execute(oracles.OP4).fetchall())
+    assert sorted(tuple(r) for r in decontaminate.scan(d, b, block_bytes=block).collect()) == want
+    assert [r[2] for r in want] == [8, 3, 0, 13]
+    assert {r.doc_id for r in decontaminate.remove_contaminated(d, b, least_items=1).collect()} == {3}
+
+
 def test_longest_matches(spark):
     d = spark.createDataFrame([(5, "x one two three four y"), (3, "one two three z one two three four five")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
