@@ -16,6 +16,7 @@ the bound stay possible members, so they are decided by id.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,13 @@ IMPACTS = 256
 CHECKS = 16
 #: A search stops when at most so many vectors, or k, are left.
 FEW = 256
-#: Products are summed in 64 bits; a component beyond this could overflow them.
-LARGEST = 1 << 24
+#: Products are summed in 64 bits if all that a search adds stays below this; else in Python's integers.
+LARGEST = 1 << 60
+
+
+def _largest(values: np.ndarray) -> int:
+    """The largest magnitude."""
+    return max(int(values.max()), -int(values.min())) if values.size else 0
 
 
 class Shard:
@@ -45,6 +51,9 @@ class Shard:
     def __init__(self, ids: np.ndarray, values: np.ndarray, levels: int = LEVELS) -> None:
         self.ids, self.values = ids, values
         n, self.dims = values.shape
+        self.largest = _largest(values)
+        if self.largest * max(self.dims, 1) >= LARGEST:  # no query but of zeros could use the index
+            return
         self.order = np.argsort(values, axis=0, kind="stable").T.copy() if n else np.zeros((self.dims, 0), np.int64)
         edges = np.unique(np.linspace(0, n, min(levels, max(n, 1)) + 1).astype(np.int64))
         self.edges, self.segments = edges, len(edges) - 1
@@ -57,9 +66,12 @@ class Shard:
 
     def search(self, query: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best vectors but `own`; all, if fewer."""
-        n = len(self.ids)
-        possible = self._possible(query, k + 1) if n > max(FEW, k + 1) else np.arange(n)
+        n, mine = len(self.ids), int((self.ids == own).sum()) if own is not None else 0
+        fits = max(self.dims, 1) * self.largest * max(_largest(query), 1) < LARGEST
+        possible = self._possible(query, k + mine) if fits and n > max(FEW, k + mine) else np.arange(n)
         possible = possible[self.ids[possible] != own] if own is not None else possible
+        if not fits:
+            return self._exact(possible, query, k)
         scores = self.values[possible] @ query
         if len(scores) > k:
             best = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -67,6 +79,15 @@ class Shard:
         order = np.lexsort((self.ids[possible], -scores))[:k]
         return self.ids[possible][order], scores[order]
 
+    def _exact(self, possible: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for some vectors, scored in Python's integers."""
+        q = query.tolist()
+        found = ((-sum(x * y for x, y in zip(self.values[i].tolist(), q, strict=True)), int(self.ids[i])) for i in possible.tolist())
+        best = heapq.nsmallest(k, found)
+        if any(not -(1 << 63) <= -s < 1 << 63 for s, _ in best):
+            raise ArithmeticError("a score among the best does not fit into 64 bits")
+        return np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best], np.int64)
+
     def _possible(self, query: np.ndarray, k: int) -> np.ndarray:
         """Vectors that may be among the k best."""
         n = len(self.ids)
@@ -114,8 +135,6 @@ def _pack(size: int):
             for dims in np.unique(lengths).tolist():
                 rows = np.nonzero(lengths == dims)[0]
                 values = flat[starts[rows][:, None] + np.arange(dims)[None, :]].astype(np.int64)
-                if values.size and (values.max() > LARGEST or values.min() < -LARGEST):
-                    raise ArithmeticError(f"a component beyond {LARGEST}: its scores might not fit into 64 bits")
                 for i in range(0, len(rows), size):
                     held.setdefault(dims, []).append((ids[rows[i : i + size]], values[i : i + size]))
                     if sum(len(x[0]) for x in held[dims]) >= size:

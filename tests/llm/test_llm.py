@@ -75,6 +75,27 @@ def test_top_k_edges(spark):
 # 2
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(i, [(1 << 40) + i, i]) for i in range(30)] + [(50, [1 << 62, 0]), (60, [1, -1]), (61, [1 << 20, 3])]
+    v = spark.createDataFrame(rows, "id long, values array<long>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(v, v.where("id = 60"), 4).collect())
+    best = sorted((-(y[0] - y[1]), i) for i, y in rows if i != 60)[:4]
+    assert got == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    with pytest.raises(Exception, match="does not fit"):
+        topk.top_k(v, v.where("id = 61"), 4).collect()
+
+
+def test_top_k_when_the_query_has_several_rows():
+    rng = np.random.default_rng(0)
+    values = rng.integers(-50, 50, (2000, 4))
+    query = np.array([1000, 900, 800, 700])
+    ids = np.arange(2000)
+    values[:400], ids[:400] = query, 7  # they alone fill what is proven for k + 1 places
+    found, scores = topk.Shard(ids, values).search(query, 7, 5)
+    rest = sorted((-int(values[i] @ query), int(ids[i])) for i in range(400, 2000))[:5]
+    assert list(zip((-scores).tolist(), found.tolist())) == rest
+
+
 def test_secret_queries_let_matches_through():
     random.seed(1)
     scanner = secrets.Scanner()
