@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -17,6 +18,8 @@ CHUNK_BYTES = 4 << 20
 BATCH_BYTES = 16 << 20
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Caches that a worker keeps from task to task: owner to what empties its cache.
 RESIDENT: dict[str, Callable[[], None]] = {}
 
@@ -26,6 +29,9 @@ def settle(owner: str | None = None) -> None:
     for name, clear in RESIDENT.items():
         if name != owner:
             clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:  # what tasks before freed goes back to the system
+        _trim(0)
 
 
 def bound_batches(spark: SparkSession) -> None:
