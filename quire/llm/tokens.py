@@ -52,8 +52,8 @@ MANIFEST = "_manifest.json"
 #: Space that ends a piece for the tokenizer's pattern; the characters 1C to 1F are none.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: A comma or full stop that is one piece with the sign before it.
-_JOINED = re.compile(r"(?:[^\w\s]|_)[.,]\s")
-_ODD = frozenset("\x1c\x1d\x1e\x1f")
+_SIGNED = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}]+)")
+_JOINED = re.compile(r"[.,](?<=(?:[^\w\s]|_).)\s")
 
 
 def byte_alphabet() -> list[str]:
@@ -66,11 +66,36 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+#: The normalizer, pieces and word ends of the tokenizer file that encoding by words is for.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_MODEL = {"type": "BPE", "dropout": None, "end_of_word_suffix": "</w>", "ignore_merges": False}
+
+
+def by_words(blob: bytes) -> bool:
+    """Whether a tokenizer file has the normalizer and pieces that make a text's ids those of its words."""
+    held = json.loads(blob)
+    normalizer, pieces, model = (held.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = pieces.get("pretokenizers", [])
+    return (
+        normalizer.get("normalizers") == _NORMALIZER
+        and len(steps) == 2
+        and steps[0] == _SPLIT
+        and steps[1].get("type") == "ByteLevel"
+        and not steps[1].get("add_prefix_space")
+        and not steps[1].get("use_regex")
+        and {k: model.get(k) for k in _MODEL} == _MODEL
+        and not held.get("truncation")
+        and all(x["content"].startswith("<|") and not x["lstrip"] and not x["rstrip"] for x in held.get("added_tokens", []))
+    )
+
+
 class Encoder:
-    """A tokenizer of the tokenizers library over whole texts, by cached words.
+    """A tokenizer of the tokenizers library over whole texts.
 
-    It serves tokenizers whose pieces never hold white space, as the one here
-    drops it: the ids of a text are then those of its words, one after another.
+    A file that `by_words` knows drops white space, so a text's ids are those of its
+    words, one after another, which are cached.  With any other file the library
+    encodes each whole text.
     """
 
     def __init__(self, blob: bytes, cached: int = 250_000) -> None:
@@ -78,21 +103,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob.decode("utf-8"))
+        self.known = by_words(blob)
+        if not self.known:
+            return
         self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
         self.cache = PieceCache(self._word, cached)
-        self.mark = {m: self._one(m) for m in ",."}
+        self.tails = PieceCache(self._one, 1_000)
 
     def _word(self, word: str) -> bytes:
-        """A word and the comma or full stop behind it are pieces of their own, and case is dropped."""
-        mark = self.mark.get(word[-1])
-        core = word if mark is None else word[:-1]
-        if core.isascii():
-            if not core.isalpha():
+        """Letters, and signs behind them, are pieces of their own, and case is dropped."""
+        core, tail = word, ""
+        if not word.isalpha():
+            found = _SIGNED.fullmatch(word)
+            if found is None:
                 return self._one(word)
-        elif not core.isalpha() or not unicodedata.is_normalized("NFC", core) or "\u0130" in core or "\u03a3" in core:
+            core, tail = found.groups()
+        if not word.isascii() and (not unicodedata.is_normalized("NFC", word) or "\u0130" in core or "\u03a3" in core):
             return self._one(word)  # form or case may set marks free, or hang on the place
         ids = self._letters(core.lower())
-        return ids if mark is None else ids + mark
+        return ids + self.tails[tail] if tail else ids
 
     def _letters(self, core: str) -> bytes:
         """A piece of lower-case letters: its bytes, as the byte-level alphabet writes them, go straight to the merges."""
@@ -104,15 +133,18 @@ class Encoder:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _split(self, text: str) -> list[str]:
-        if not _ODD.isdisjoint(text):
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return [w for w in _SPACE.split(text) if w]
-        if text.isascii() and "<|" not in text:  # nor a special token, whose case counts
+        plain = text.isascii()
+        if plain and "<|" not in text:  # nor a special token, whose case counts
             text = text.lower()
-        if not _JOINED.search(text) and (text.isascii() or "\u0130" not in text and unicodedata.is_normalized("NFC", text)):
+        if not _JOINED.search(text) and (plain or "\u0130" not in text and unicodedata.is_normalized("NFC", text)):
             text = text.replace(", ", " , ").replace(". ", " . ")
         return text.split()
 
     def encode(self, text: str, end: bytes) -> bytes:
+        if not self.known:
+            return self._one(text) + end
         cache = self.cache
         return b"".join([cache[w] for w in self._split(text)]) + end
 

@@ -152,6 +152,14 @@ def test_token_words_as_the_library_has_them():
         assert e.encode(s, b"") == np.array(e.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), repr(s)
 
 
+def test_other_tokenizers_go_to_the_library():
+    blob = data("byte_bpe_50k.json")
+    e, own = tokens.Encoder(blob), tokenizers.Tokenizer.from_str(blob.decode())
+    assert tokens.by_words(data("word_bpe_49k.json")) and not tokens.by_words(blob)
+    for s in ["", " Two  words, a\n\ttab. ", "é!, x"]:
+        assert e.encode(s, b"") == np.array(own.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_token_format(spark, edges):
     path = shared(spark, "tokens")
     tokens.write_tokens(edges, data("word_bpe_49k.json"), path, width=2)
