@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -19,8 +18,9 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 def shared(spark: SparkSession, name: str) -> str:
     """A new folder name in the folder that all executors and the driver share.
 
-    That folder is spark.checkpoint.dir; only where it is unset, as in tests on
-    one machine, a temporary one is set.
+    That folder is spark.checkpoint.dir; where it is unset, as in tests on one
+    machine, a temporary one is set if the master is local, and else this fails:
+    other machines would not see it.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -28,30 +28,47 @@ def shared(spark: SparkSession, name: str) -> str:
         held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             top = held.get()
-        else:
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
             top = tempfile.mkdtemp(prefix="quire-")
             context.setCheckpointDir(top)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def having(spark: SparkSession, **settings: str):
+    """The session with some settings, which are as they were afterwards; "__" stands for a dot."""
+    before = {k: spark.conf.get(k, None) for k in (x.replace("__", ".") for x in settings)}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k.replace("__", "."), v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def written(df, name: str):
-    """`df`, computed once and written as a table in the shared folder: it cuts lineage and survives lost executors."""
+    """`df`, computed once and written as a table in the shared folder: it cuts lineage and survives lost executors.
+
+    The shuffle files of the step go as it ends: nothing reads them any more.
+    """
     spark = df.sparkSession
     to = shared(spark, name)
-    df.write.parquet(to)
+    with having(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(to)
     return spark.read.schema(df.schema).parquet(to)
 
 
 def released(*tables) -> None:
-    """Delete tables that `written` made and nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
+    """Delete tables that `written` made and nothing reads any more."""
     for df in tables:
         context = df.sparkSession.sparkContext
         paths = context._jvm.org.apache.hadoop.fs
         for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
             path = paths.Path(f)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    for df in tables[:1]:
-        for _ in range(2):  # Python lets go of a plan, then the JVM; its cleaner then needs a moment to delete the files
-            gc.collect()
-            df.sparkSession.sparkContext._jvm.System.gc()
-            time.sleep(1)
