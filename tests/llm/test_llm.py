@@ -267,14 +267,41 @@ def without_twins(docs, w):
     return sorted(out)
 
 
-@pytest.mark.parametrize("size, window, gram", [(3, 20, 6), (60, 20, 6), (2, 7, 3)])
-def test_substring_dedup(spark, size, window, gram):
+@pytest.mark.parametrize("size, window, gram, group", [(3, 20, 6, 1 << 15), (60, 20, 6, 1 << 15), (2, 7, 3, 1 << 15), (3, 20, 6, 10), (60, 20, 6, 40), (2, 7, 3, 4)])
+def test_substring_dedup(spark, size, window, gram, group):
     random.seed(size)
     parts = [" ".join(f"w{random.randrange(size)}" for _ in range(random.randint(5, 60))) for _ in range(12)]
     docs = [(i, " \n".join(random.choice(parts) for _ in range(random.randint(0, 4)))) for i in range(50)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept).decode()) for r in repeats.without_repeats(df, window, gram).collect())
-    assert got == without_twins(docs, window)
+    rows = repeats.without_repeats(df, window, gram, group=group).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept).decode()) for r in rows) == without_twins(docs, window)
+    texts = dict(docs)
+    for r in rows:
+        split, gone = texts[r.doc_id].split(), {i for x in r.repeats for i in range(x.begin, x.end)}
+        assert len(gone) == r.n_removed and [w for i, w in enumerate(split) if i not in gone] == bytes(r.kept).decode().split()
+        assert all(a.end < b.begin for a, b in zip(r.repeats, r.repeats[1:]))
+
+
+def test_a_passage_in_many_surroundings(spark):
+    """One gram has as many different pieces as there are documents: its group is split by longer prefixes, and by whole windows."""
+    random.seed(8)
+    passage = " ".join(f"p{i}" for i in range(30))
+    say = lambda: " ".join(f"u{random.randrange(10**6)}" for _ in range(25))
+    docs = [(i, f"{say()} {passage} {say()}") for i in range(300)] + [(1000 + i, passage) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for group in (30, 1 << 15):
+        rows = repeats.without_repeats(df, group=group).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept).decode()) for r in rows) == without_twins(docs, 20)
+    hot = df.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tk"))
+    anchors = repeats._anchors(hot, 20, 6).where("place % 2 = 0").groupBy("gram").count()
+    assert anchors.agg(F.max("count")).first()[0] <= 4
+
+
+def test_rows_without_an_id_and_of_one_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    df = spark.createDataFrame([(None, a), (None, b), (5, a), (5, b), (6, b + " " + a)], "doc_id long, text string")
+    got = sorted((r.doc_id if r.doc_id is not None else 9, r.n_removed) for r in repeats.without_repeats(df).collect())
+    assert got == [(5, 0), (5, 0), (6, 80), (9, 40), (9, 40)]
 
 
 def test_substring_dedup_edges(spark, edges):
