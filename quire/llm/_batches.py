@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -55,15 +55,34 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     )
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A number of a row's id and text: what is decided of a text removes its rows, not others of that id or without one."""
-    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")))
+def kept_rows(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], list[bool]]], text_col: str = "text", limit: int = CHUNK_BYTES, owner: str | None = None) -> DataFrame:
+    """The rows of `docs`, all their columns, that make()(texts) says stay: in one pass, without a shuffle.
 
+    What is decided of a row's own text keeps or removes that row, not others of its
+    id or without one.  A null text is empty.  Columns are passed on by their place,
+    so their names, whatever they are, cannot clash.
+    """
+    bound_batches(docs.sparkSession)
+    names = docs.columns
+    at = names.index(text_col)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
 
-def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """The rows of `docs` whose row_key is not a doc_id of `bad`."""
-    gone = bad.select(F.col("doc_id").alias("__gone_key")).distinct()
-    return docs.join(gone, row_key() == F.col("__gone_key"), "left_anti")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(owner)
+        keep = make()
+        for batch in batches:
+            column, start, held = batch.column(at), 0, 0
+            sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in column]
+            for k in range(batch.num_rows + 1):
+                if k == batch.num_rows or held and held + sizes[k] > limit:
+                    if k > start:
+                        part = batch.slice(start, k - start)
+                        stay = keep([(x or "").encode() for x in column.slice(start, k - start).to_pylist()])
+                        yield part if all(stay) else part.filter(pa.array(stay, pa.bool_()))
+                    start, held = k, 0
+                held += sizes[k] if k < batch.num_rows else 0
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bytes]]]:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._batches import map_chunks, row_key, settle, texts, without
+from quire.llm._batches import kept_rows, map_chunks, settle, texts
 
 #: UTF-8 form of the word pattern [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z are lower-cased: other bytes become spaces.
 FOLD = bytes(
@@ -143,6 +143,12 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Ite
     yield held
 
 
+def _id_of(benchmark: DataFrame) -> str:
+    if "item_id" not in benchmark.columns:
+        raise ValueError("a benchmark needs the column item_id")
+    return "item_id"
+
+
 def _hits(docs: DataFrame, rows: list[tuple], window: int) -> DataFrame:
     """doc_id, n_words, hit (word ranges [begin, end) as a flat array), items: of one block."""
     held = docs.sparkSession.sparkContext.broadcast((rows, window))
@@ -210,9 +216,8 @@ def scan(
     document clean.  Document rows that repeat are each reported.
     Nothing is shuffled unless the benchmark needs more than one block.
     """
-    item_id, item_text = benchmark.columns[0] if "item_id" not in benchmark.columns else "item_id", "text"
     read = texts(docs, id_col, text_col)
-    blocks = [_hits(read, rows, window) for rows in _blocks(benchmark, item_id, item_text, block_bytes)]
+    blocks = [_hits(read, rows, window) for rows in _blocks(benchmark, _id_of(benchmark), "text", block_bytes)]
     if len(blocks) == 1:
         return _report(blocks[0].drop("text_key"), least_items)
     whole = blocks[0].withColumn("block", F.lit(0))
@@ -293,5 +298,29 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_c
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2) -> DataFrame:
-    """The rows of `docs`, all their columns, whose own text is not contaminated."""
-    return without(docs, scan(docs.withColumn("__key", row_key()), benchmark, window, least_items, id_col="__key").where("contaminated"))
+    """The rows of `docs`, all their columns, whose own text holds windows of fewer than `least_items` items; they are not shuffled."""
+    item_id = _id_of(benchmark)
+    rows = list(_blocks(benchmark, item_id, "text", BLOCK_BYTES))
+    if len(rows) > 1 and least_items > 1:  # items of several blocks add up
+        scanned = scan(docs.select(F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))).alias("doc_id"), "text"), benchmark, window, least_items)
+        bad = scanned.where("contaminated").select(F.col("doc_id").alias("__gone_key")).distinct()
+        return docs.join(bad, F.xxhash64(F.coalesce(docs["text"].cast("binary"), F.lit("").cast("binary"))) == F.col("__gone_key"), "left_anti")
+    for block in rows:
+        held = docs.sparkSession.sparkContext.broadcast((block, window))
+
+        def make(held=held):
+            bench = Benchmark(*held.value)
+
+            def keep(blobs):
+                shard = Shard(blobs, bench)
+                found: list[set] = [set() for _ in blobs]
+                for _, low, high, items in shard.occurrences():
+                    for w in np.nonzero(high > low)[0]:
+                        for d in np.unique(shard.doc_of(shard.suffixes[low[w] : high[w]])).tolist():
+                            found[d].update(bench.ids[k] for k in items[w].tolist())
+                return [len(x) < least_items for x in found]
+
+            return keep
+
+        docs = kept_rows(docs, make)
+    return docs

@@ -15,6 +15,7 @@ logistic fit to the training labels.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from dataclasses import dataclass, field
@@ -23,8 +24,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._batches import map_chunks, row_key, texts, without
+from quire.llm._batches import kept_rows, map_chunks, texts
 from quire.llm.decontaminate import words
+from quire.llm.store import released, written
 
 #: Labelled rows that the classifier is fitted on at most: those whose hashed ids are least.
 TRAIN_ROWS = 20_000
@@ -34,8 +36,10 @@ PRIOR = 2_000.0
 CHANCE = 0.01
 #: Evidence (in nats) from which a segment counts as significant: at most one in 20 clean texts has one by chance.
 SIGNIFICANT = math.log(20)
-#: Tokens longer than this are cut, so that the model stays small.
+#: Tokens longer than this stand in the model as their hash, so that it stays small.
 LONGEST = 64
+#: Clean training texts with any segment from which K is fitted; with fewer, K is the bound that the log-odds give.
+FITTED = 20
 
 
 @dataclass
@@ -48,26 +52,37 @@ class Model:
     weights: tuple[float, float, float] = (-20.0, 0.0, 0.0)
 
 
+def tokens(text: bytes) -> list[bytes]:
+    """The words of a text; long ones as a hash of theirs."""
+    found = words(text)
+    if len(max(found, key=len, default=b"")) <= LONGEST:
+        return found
+    return [w if len(w) <= LONGEST else b"\0" + hashlib.blake2b(w, digest_size=16).digest() for w in found]
+
+
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (begin, end, sum), by the linear-time scan.
 
     Only positive scores start or grow a segment; a segment is joined with an
     earlier one when that one starts lower and ends lower than the new one's end.
+    Each segment remembers the last one before it that starts lower, so none that
+    starts as high is looked at twice for the same end.
     """
     total = np.cumsum(scores)
-    found: list[list] = []  # begin, end, sum before it, sum at its end
-    for k in np.nonzero(scores > 0)[0].tolist():
-        now = [k, k + 1, float(total[k] - scores[k]), float(total[k])]
-        while found:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= now[3]:
+    found: list[tuple] = []  # begin, end, sum before it, sum at its end, the last earlier segment that starts lower
+    at = np.nonzero(scores > 0)[0]
+    for k, left, right in zip(at.tolist(), (total[at] - scores[at]).tolist(), total[at].tolist(), strict=True):
+        begin, j = k, len(found) - 1
+        while True:
+            while j >= 0 and found[j][2] >= left:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= right:
                 break
-            now = [found[j][0], now[1], found[j][2], now[3]]
+            begin, _, left, _, below = found[j]
             del found[j:]
-        found.append(now)
-    return [(b, e, right - left) for b, e, left, right in found]
+            j = below
+        found.append((begin, k + 1, left, right, j))
+    return [(b, e, right - left) for b, e, left, right, _ in found]
 
 
 class Scorer:
@@ -76,7 +91,7 @@ class Scorer:
 
     def passages(self, text: bytes) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of tokens; the maximal segments with their evidence."""
-        found = [w[:LONGEST] for w in words(text)]
+        found = tokens(text)
         if self.model.scores.keys().isdisjoint(found):
             return len(found), []
         other = self.model.other
@@ -89,7 +104,7 @@ class Scorer:
         _, found = self.passages(text)
         best = max((x for *_, x in found), default=0.0)
         clear = [p for p in found if p[2] >= SIGNIFICANT]
-        return min(max(best, 0.0), 50.0), math.log1p(sum(x for *_, x in clear)), clear
+        return max(best, 0.0), math.log1p(sum(x for *_, x in clear)), clear
 
     def score(self, best: float, total: float) -> float:
         a, b, c = self.model.weights
@@ -136,37 +151,38 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str
     spark = docs.sparkSession
     picked = spark.createDataFrame([tuple(r) for r in own.collect()], "doc_id long, y int")  # at most `rows` pairs of numbers
     sample = texts(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").select("y", "text").distinct()
+    sample = written(sample, "sample")  # read four times
 
     def make():
         def step(ys, blobs):
             counts = (Counter(), Counter())
             for y, b in zip(ys, blobs, strict=True):
-                counts[y].update({w[:LONGEST] for w in words(b)})
+                counts[y].update(set(tokens(b)))
             both = list(counts[0].keys() | counts[1].keys())
             return {"word": both, "clean": [counts[0][w] for w in both], "toxic": [counts[1][w] for w in both]}
 
         return step
 
     counted = map_chunks(sample, "word binary, clean long, toxic long", make).groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counted = counted.persist()
-    try:
-        n0, n1, size = (float(x or 0) for x in counted.agg(F.sum("clean"), F.sum("toxic"), F.count(F.lit(1))).first())
-        share = (F.col("clean") + F.col("toxic")) / (n0 + n1 or 1.0) * PRIOR
-        t, c = F.col("toxic") + share, F.col("clean") + share
-        both, rate = F.col("clean") + F.col("toxic"), n1 / (n0 + n1 or 1.0)
-        q = F.col("toxic") / both
-        part = lambda q, p: F.when(q > 0, q * F.log(q / p)).otherwise(0.0)
-        uneven = both * (part(q, rate) + part(1 - q, 1 - rate))  # Chernoff's bound: minus the logarithm of the chance
-        told = counted.select("word", (t / (n1 + PRIOR)).alias("p1"), (c / (n0 + PRIOR)).alias("p0"), uneven.alias("uneven"))
-        clear = told.where(F.col("uneven") >= math.log(size / CHANCE)).collect() if n0 and n1 else []
-    finally:
-        counted.unpersist()
+    counted = written(counted, "counted")
+    n0, n1, size = (float(x or 0) for x in counted.agg(F.sum("clean"), F.sum("toxic"), F.count(F.lit(1))).first())
+    share = (F.col("clean") + F.col("toxic")) / (n0 + n1 or 1.0) * PRIOR
+    t, c = F.col("toxic") + share, F.col("clean") + share
+    both, rate = F.col("clean") + F.col("toxic"), n1 / (n0 + n1 or 1.0)
+    q = F.col("toxic") / both
+    part = lambda q, p: F.when(q > 0, q * F.log(q / p)).otherwise(0.0)
+    uneven = both * (part(q, rate) + part(1 - q, 1 - rate))  # Chernoff's bound: minus the logarithm of the chance
+    told = counted.select("word", (t / (n1 + PRIOR)).alias("p1"), (c / (n0 + PRIOR)).alias("p0"), uneven.alias("uneven"))
+    clear = told.where(F.col("uneven") >= math.log(size / CHANCE)).collect() if n0 and n1 else []
+    released(counted)
     model = Model({bytes(r.word): math.log(r.p1 / r.p0) for r in clear})
     if clear:
         rest1, rest0 = 1 - sum(r.p1 for r in clear), 1 - sum(r.p0 for r in clear)
         model.log_k = math.log(max(sum(r.p1 for r in clear if r.p1 > r.p0), 1e-9))
         model.other = min(-1e-3, math.log(max(rest1, 1e-9) / max(rest0, 1e-9)))
-    return _calibrated(sample, model)
+    model = _calibrated(sample, model)
+    released(sample)
+    return model
 
 
 def _calibrated(sample: DataFrame, model: Model) -> Model:
@@ -189,7 +205,7 @@ def _calibrated(sample: DataFrame, model: Model) -> Model:
 
     clean = [r.raw for r in rows(model) if r.y == 0]
     raw = [x for x in clean if x is not None]
-    if len(raw) >= 20:
+    if len(raw) >= FITTED:
         # Clean texts' evidence has a Gumbel law with scale 1: its middle value, among those that have any, gives K.
         model.log_k += float(np.median(raw) + math.log(-math.log1p(-0.5 * len(raw) / len(clean))))
     found = rows(model)
@@ -231,6 +247,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs`, all their columns, whose own text is not predicted toxic."""
-    scored = score(docs.withColumn("__key", row_key()), train(docs, labels), threshold, id_col="__key")
-    return without(docs, scored.where("predicted = 1"))
+    """The rows of `docs`, all their columns, whose own text is not predicted toxic; they are not shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def make():
+        scorer = Scorer(held.value)
+        return lambda blobs: [scorer.score(*scorer.features(b)[:2]) < threshold for b in blobs]
+
+    return kept_rows(docs, make)

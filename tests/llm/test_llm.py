@@ -484,6 +484,36 @@ def test_segments_are_all_maximal_ones():
         assert [(b, e) for b, e, _ in toxicity.segments(np.array(x))] == brute(x, 0, len(x))
 
 
+def test_segments_take_linear_time_and_long_tokens_stay_apart():
+    import time
+
+    def took(n):
+        x = np.where(np.arange(2 * n) % 2 == 0, 1.0, -1.0 + 1e-9 * np.arange(2 * n))  # each starts as high as those before it
+        start = time.process_time()
+        assert toxicity.segments(x)
+        return time.process_time() - start
+
+    took(1000)
+    assert took(64_000) < 40 * max(took(4_000), 0.005)
+    a, b = b"x" * 64 + b"a", b"x" * 64 + b"b"
+    one, two = toxicity.tokens(a + b" y"), toxicity.tokens(b + b" y")
+    assert one[0] != two[0] and one[1:] == two[1:] == [b"y"] and len(one[0]) <= toxicity.LONGEST
+
+
+def test_scores_by_brute_force():
+    model = toxicity.Model({b"bad": 2.0, b"vile": 3.0, b"kind": -1.5}, other=-0.25, log_k=-1.0, weights=(-3.0, 1.5, 0.5))
+    random.seed(4)
+    for _ in range(200):
+        w = [random.choice(["bad", "vile", "kind", "the", "of"]) for _ in range(random.randint(0, 12))]
+        x = [model.scores.get(t.encode(), model.other) for t in w]
+        spans = [sum(x[b:e]) for b in range(len(x)) for e in range(b + 1, len(x) + 1)]
+        best = max([0.0, *(s - model.log_k - np.log(len(w)) for s in spans if s > 0)]) if not {"bad", "vile", "kind"}.isdisjoint(w) else 0.0
+        scorer = toxicity.Scorer(model)
+        got_best, got_total, clear = scorer.features(" ".join(w).encode())
+        assert abs(got_best - best) < 1e-9 and abs(got_total - np.log1p(sum(e for *_, e in clear))) < 1e-9
+        assert abs(scorer.score(got_best, got_total) - 1 / (1 + np.exp(3.0 - 1.5 * got_best - 0.5 * got_total))) < 1e-12
+
+
 def test_toxicity_learns_only_from_what_it_may(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
