@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quire.llm import similar
 from quire.llm._batches import map_chunks, settle, texts
 from quire.llm.components import Forest, components
-from quire.llm.store import written
+from quire.llm.store import released, written
 
 SEED = 42
 BITS = 64
@@ -45,30 +45,30 @@ def shingles(text: bytes, size: int) -> list[bytes]:
     return [b" ".join(w) for w in zip(*(islice(words, k, None) for k in range(size)), strict=False)]
 
 
-def fingerprint(runs: list[bytes], seed: int = SEED) -> int:
-    """The fingerprint of some shingles as a signed 64-bit number, by XXH64; that of none is 0."""
+def hashes(runs: list[bytes], seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle."""
     digest = xxhash.xxh64_intdigest
-    found = [digest(s, seed) for s in runs]
-    if not found:
+    return np.fromiter((digest(s, seed) for s in runs), np.uint64, len(runs))
+
+
+def fingerprint(found: np.ndarray) -> int:
+    """The fingerprint of some shingles' hashes as a signed 64-bit number; that of none is 0."""
+    if not len(found):
         return 0
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(found), AT_ONCE):
-        part = np.array(found[i : i + AT_ONCE], ">u8")
+        part = found[i : i + AT_ONCE].astype(">u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(found)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """doc_id, fps (array of long, one a seed) of each whole text."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (long) of each whole text."""
 
     def make():
-        def each(text):
-            held = shingles(text, shingle)
-            return [fingerprint(held, s) for s in seeds]
-
-        return lambda ids, blobs: {"doc_id": ids, "fps": [each(b) for b in blobs]}
+        return lambda ids, blobs: {"doc_id": ids, "fp": [fingerprint(hashes(shingles(b, shingle))) for b in blobs]}
 
-    return map_chunks(texts(docs, id_col, text_col), "doc_id long, fps array<long>", make)
+    return map_chunks(texts(docs, id_col, text_col), "doc_id long, fp long", make)
 
 
 class BKTree:
@@ -190,7 +190,7 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "do
     its component is null.  Rows that repeat are each reported; rows that share an
     id but not a text are linked where that id is the least of both.
     """
-    found = written(fingerprints(docs, shingle, id_col, text_col).select("doc_id", F.col("fps")[0].alias("fp")), "fingerprints")
+    found = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     nodes = written(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     joined = components(links(nodes, radius))
     classes = nodes.join(joined, nodes["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
@@ -204,48 +204,45 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 6, seeds: tuple[int, ...] = (SEED, SEED + 1, SEED + 2), least: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 3, least: float = 0.8) -> DataFrame:
     """The rows of `docs`, all their columns, of one document of each group: that with the least id.
 
     Documents are linked whose sets of shingles have a Jaccard similarity of `least`
-    or more.  Fingerprints within `radius` bits by any of the seeds are candidates,
-    whose similarity is computed, and a join of prefixes finds the others.  Rows without an id are kept.  Of rows that share an id, each text is a
-    document of its own; rows that repeat in both are one.
+    or more.  Fingerprints within `radius` bits are candidates, found with BK-trees,
+    whose similarity is computed; a join of prefixes finds all that are as similar
+    and lie further apart.  Rows without an id are kept.  Of rows that share an id,
+    each text is a document of its own; rows that repeat in both are one.
     """
     share = Fraction(str(least))
-    sets = lambda text: similar.hashed(shingles(text, shingle), SEED)
+    sets = lambda text: np.unique(hashes(shingles(text, shingle)))
     read = texts(docs).where("doc_id is not null")
     seen = docs.sparkSession.sparkContext.broadcast(similar.counts(read, sets))
 
     def make():
         def each(text):
-            held = shingles(text, shingle)
-            found = similar.hashed(held, SEED)
+            held = hashes(shingles(text, shingle))
+            found = np.unique(held)
             key = xxhash.xxh64_intdigest(text, SEED)  # as Spark's xxhash64 has it
-            return _signed(key), similar.node_of(found), len(found), similar.prefix(found, seen.value, share), [fingerprint(held, s) for s in seeds]
+            return _signed(key), similar.node_of(found), len(found), similar.prefix(found, seen.value, share), fingerprint(held)
 
-        return lambda ids, blobs: {"doc_id": ids} | dict(zip(("text_key", "node", "n", "prefix", "fps"), zip(*map(each, blobs), strict=True), strict=True))
+        return lambda ids, blobs: {"doc_id": ids} | dict(zip(("text_key", "node", "n", "prefix", "fp"), zip(*map(each, blobs), strict=True), strict=True))
 
-    found = written(map_chunks(read, "doc_id long, text_key long, node long, n long, prefix array<long>, fps array<long>", make), "fingerprints")
-    one = F.min(F.struct("doc_id", "text_key", "n", "prefix", "fps")).alias("one")
+    found = written(map_chunks(read, "doc_id long, text_key long, node long, n long, prefix array<long>, fp long", make), "fingerprints")
+    one = F.min(F.struct("doc_id", "text_key", "n", "prefix", "fp")).alias("one")
     nodes = written(found.groupBy("node").agg(one).select("node", "one.*"), "nodes")
-    linked = None
-    for k in range(len(seeds)):
-        own = nodes.select("node", F.col("fps")[k].alias("fp"))
-        reps = written(own.groupBy("fp").agg(F.min("node").alias("rep")), "nodes")
-        same = own.join(reps, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-        both = same.unionByName(links(reps, radius))
-        linked = both if linked is None else linked.unionByName(both)
+    reps = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
+    same = nodes.join(reps, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     sources = nodes.select("node", "doc_id", "text_key")
-    linked = similar.similar(nodes, read, sources, sets, share, similar.verified(linked, read, sources, sets, share))
-    joined = components(linked)
+    linked = similar.verified(same.unionByName(links(reps, radius)), read, sources, sets, share)
+    joined = components(similar.similar(nodes, read, sources, sets, share, linked))
     placed = found.select("doc_id", "text_key", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     gone = placed.join(first, "component").where("struct(doc_id, text_key) <> first")
-    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct()
+    gone = written(gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct(), "gone")
     key = F.xxhash64(F.coalesce(docs["text"].cast("binary"), F.lit("").cast("binary")))
     kept = docs.join(gone, (docs["doc_id"].cast("long") == gone["__gone_id"]) & (key == gone["__gone_key"]), "left_anti")
     if found.groupBy("doc_id", "text_key").count().where("count > 1").take(1):
         named = kept.where("doc_id is not null").withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key")
         kept = named.unionByName(kept.where("doc_id is null"))
+    released(nodes, reps)
     return kept
