@@ -50,12 +50,12 @@ def nesting(nodes: DataFrame, key: str, parent: str, book: list[str], most: int
     """Depth of each node under its parents: rows (book..., key, depth).
 
     An empty parent ends a chain; a null parent, one that is not there, or a cycle
-    gives a null depth.  Each round doubles the length of the chains that are
+    gives a null depth.  Of a key's rows the one with the least parent counts.  Each round doubles the length of the chains that are
     known, so a chain of n parents takes log n joins; ends after `most` rounds.
     """
     from quire.operators.checkpoints import cut
 
-    first = nodes.groupBy(*book, key).agg(F.first(parent).alias("up"))
+    first = nodes.groupBy(*book, key).agg(F.min(parent).alias("up"))
     now = cut(first.select(*book, F.col(key).alias("k"), F.when(F.col("up") == "", F.lit(None)).otherwise(F.col("up")).alias("up"),
                            F.when(F.col("up") == "", "end").when(F.col("up").isNull(), "lost").otherwise("open").alias("state"),
                            F.when(F.col("up") == "", 0).otherwise(1).cast("long").alias("d")))

@@ -95,12 +95,23 @@ def dead(links: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame:
     return links.join(anchors.select(*keys).distinct(), keys, "left_anti")
 
 
-def menus_valid(items: DataFrame, catalog: DataFrame, part: list[str]) -> DataFrame:
-    """Menu items of menus all of whose targets the catalog has: one that fails declines its whole menu."""
-    known = catalog.select(F.col("folded_id").alias("__t")).distinct().withColumn("__known", F.lit(True))
-    out = items.join(known, T.ascii_upper("target") == F.col("__t"), "left")
-    fine = F.bool_and(F.col("__known").isNotNull()).over(Window.partitionBy(*part))
-    return out.withColumn("__fine", fine).where("__fine").drop("__fine", "__known", "__t")
+def menus_valid(items: DataFrame, catalog: DataFrame, part: list[str], book: list[str], label: str | None = None) -> DataFrame:
+    """Menu items of menus all of whose targets their own book's catalog has: one that fails declines its whole menu.
+
+    items: (book..., part..., target), catalog: (book..., folded_id).  With `label`,
+    items have it and the catalog has topic_title and toc_title, and an item's label
+    must be one of its target's titles too; ASCII case and runs of blanks aside.
+    """
+    plain = lambda c: T.ascii_lower(T.trim_ascii(T.collapse_whitespace(c)))
+    own = [*book, F.col("folded_id").alias("__target")]
+    titles = F.array_distinct(F.flatten(F.collect_list(F.array(plain("topic_title"), plain("toc_title"))))) if label else F.lit(True)
+    known = catalog.select(*own, *(["topic_title", "toc_title"] if label else [])).groupBy(*book, "__target").agg(
+        titles.alias("__known") if label else F.first(titles).alias("__known")
+    )
+    out = items.withColumn("__target", T.ascii_upper("target")).join(known, [*book, "__target"], "left")
+    fits = F.coalesce(F.array_contains("__known", plain(label)), F.lit(False)) if label else F.col("__known").isNotNull()
+    fine = F.bool_and(fits).over(Window.partitionBy(*dict.fromkeys([*book, *part])))
+    return out.withColumn("__fine", fine).where("__fine").select(items.columns)
 
 
 def figure_anchors(blocks: DataFrame, part: list[str], order: str) -> DataFrame:

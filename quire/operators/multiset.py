@@ -32,7 +32,11 @@ def punctuation(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def characters(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Letters and digits, case-sensitive."""
-    return multiset(df, key, F.filter(F.split(F.col(text), ""), lambda c: c.rlike("^[\\p{L}\\p{N}]$")), "ch")
+    return multiset(df, key, _letters(text), "ch")
+
+
+def _letters(text: str) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.col(text), "[^\\p{L}\\p{N}]+", ""), ""), lambda c: c != "")
 
 
 def joined(counts: DataFrame, key: str, item: str) -> DataFrame:
@@ -42,17 +46,34 @@ def joined(counts: DataFrame, key: str, item: str) -> DataFrame:
 
 
 def delta(before: DataFrame, after: DataFrame, on: list[str]) -> DataFrame:
-    """(on..., lost, gained) of each item whose counts differ."""
-    both = before.withColumnRenamed("n", "a").join(after.withColumnRenamed("n", "b"), on, "full_outer")
-    a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
+    """(on..., lost, gained) of each item whose counts differ, from rows (on..., n): counts, or one row an occurrence with n = 1.
+
+    Both sides are summed in one shuffle, after partial sums.
+    """
     zero = F.lit(0).cast("long")
-    return both.select(*on, F.greatest(a - b, zero).alias("lost"), F.greatest(b - a, zero).alias("gained")).where("lost > 0 or gained > 0")
+    both = before.select(*on, F.col("n").cast("long").alias("a"), zero.alias("b")).unionByName(after.select(*on, zero.alias("a"), F.col("n").cast("long").alias("b")))
+    a, b = F.col("a"), F.col("b")
+    sums = both.groupBy(*on).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return sums.select(*on, F.greatest(a - b, zero).alias("lost"), F.greatest(b - a, zero).alias("gained")).where("lost > 0 or gained > 0")
+
+
+def occurrences(df: DataFrame, key: str, items: Column, name: str) -> DataFrame:
+    """(key, item, n = 1) of each occurrence: for operators that sum it themselves."""
+    return df.select(key, F.explode(items).alias(name), F.lit(1).cast("long").alias("n"))
+
+
+def character_delta(before: DataFrame, after: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, ch, lost, gained) of each letter or digit of which two versions of a text have different numbers."""
+    return delta(*(occurrences(df, key, _letters(text), "ch") for df in (before, after)), [key, "ch"])
 
 
 def drawn_words(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, word, line_no, line, opening): each word that a line draws; the first of a line is its opening."""
-    out = lines(df, key, text).select(key, "line_no", "line", F.posexplode(T.words("line")).alias("at", "word"))
-    return out.select(key, "word", "line_no", "line", (F.col("at") == 0).alias("opening"))
+    """(key, word, line_no, line_key, opening): each word that a line draws; the first of a line is its opening.
+
+    Lines are named by number and by a hash of their text, so that no word carries its line.
+    """
+    out = lines(df, key, text).select(key, "line_no", F.xxhash64("line").alias("line_key"), F.posexplode(T.words("line")).alias("at", "word"))
+    return out.select(key, "word", "line_no", "line_key", (F.col("at") == 0).alias("opening"))
 
 
 def drawn_counts(drawn: DataFrame, key: str) -> DataFrame:
@@ -62,20 +83,29 @@ def drawn_counts(drawn: DataFrame, key: str) -> DataFrame:
     )
 
 
+COUNTS = ("drawn_opening", "drawn_inline", "emitted_markdown", "emitted_html")
+
+
 def word_deficits(drawn: DataFrame, markdown: DataFrame, html: DataFrame, key: str) -> DataFrame:
     """What the outputs lack of the drawn words, one row a (key, word) with a shortfall.
 
-    `drawn` is of drawn_counts; `markdown` and `html` are multisets.  A shortfall of
-    the lesser output is forgiven as far as the word opens lines, where a list's
-    own marker may stand for it; the rest is unaccounted.
+    `drawn` is of drawn_words or drawn_counts; `markdown` and `html` have a row
+    (key, word, n) for each word, or for each occurrence.  A shortfall of the lesser
+    output is forgiven as far as the word opens lines, where a list's own marker may
+    stand for it; the rest is unaccounted.  The three are summed in one shuffle.
     """
-    both = (
-        drawn.join(markdown.withColumnRenamed("n", "emitted_markdown"), [key, "word"], "left")
-        .join(html.withColumnRenamed("n", "emitted_html"), [key, "word"], "left")
-        .na.fill(0, ["emitted_markdown", "emitted_html"])
-    )
-    total = F.col("drawn_opening") + F.col("drawn_inline")
     zero = F.lit(0).cast("long")
+
+    def side(df: DataFrame, **has: Column) -> DataFrame:
+        return df.select(key, "word", *((has[c].cast("long") if c in has else zero).alias(c) for c in COUNTS))
+
+    if "opening" in drawn.columns:
+        own = side(drawn, drawn_opening=F.col("opening").cast("int"), drawn_inline=(~F.col("opening")).cast("int"))
+    else:
+        own = side(drawn, drawn_opening=F.col("drawn_opening"), drawn_inline=F.col("drawn_inline"))
+    rows = own.unionByName(side(markdown, emitted_markdown=F.col("n"))).unionByName(side(html, emitted_html=F.col("n")))
+    both = rows.groupBy(key, "word").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    total = F.col("drawn_opening") + F.col("drawn_inline")
     lacks = lambda c: F.greatest(zero, total - F.col(c) - F.col("drawn_opening"))
     out = both.withColumn("emitted", F.least("emitted_markdown", "emitted_html")).withColumn("shortfall", total - F.col("emitted"))
     return out.where("shortfall > 0").select(
@@ -86,14 +116,18 @@ def word_deficits(drawn: DataFrame, markdown: DataFrame, html: DataFrame, key: s
     )
 
 
-def evidence(drawn: DataFrame, wanted: DataFrame, key: str, most: int = 3) -> DataFrame:
-    """(key, word, evidence): the first `most` different lines that draw a word, and how many more there are."""
-    own = drawn.join(wanted.select(key, "word"), [key, "word"], "left_semi")
-    first = own.groupBy(key, "word", "line").agg(F.min("line_no").alias("line_no"))
+def evidence(df: DataFrame, wanted: DataFrame, key: str, text: str = "text", most: int = 3) -> DataFrame:
+    """(key, word, evidence): the first `most` different lines that draw a word, and how many more there are.
+
+    Words meet by line number; only the few lines that are shown are joined.
+    """
+    own = drawn_words(df, key, text).join(wanted.select(key, "word"), [key, "word"], "left_semi")
+    first = own.groupBy(key, "word", "line_key").agg(F.min("line_no").alias("line_no"))
     w = Window.partitionBy(key, "word")
     ranked = first.select(
-        key, "word", "line", F.row_number().over(w.orderBy("line_no")).alias("r"), F.count(F.lit(1)).over(w).alias("total")
+        key, "word", "line_no", F.row_number().over(w.orderBy("line_no")).alias("r"), F.count(F.lit(1)).over(w).alias("total")
     ).where(F.col("r") <= most)
+    ranked = ranked.join(lines(df, key, text), [key, "line_no"])
     shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda s: s["line"]), " | ")
     more = F.when(F.max("total") > most, F.concat(F.lit(" | +"), F.max("total") - most, F.lit(" more lines"))).otherwise("")
     return ranked.groupBy(key, "word").agg(F.concat(shown, more).alias("evidence"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import intervals
 
 
 def listing(spark: SparkSession, path: str, recursive: bool = False, suffix: str = ".boo") -> DataFrame:
@@ -20,9 +21,8 @@ def listing(spark: SparkSession, path: str, recursive: bool = False, suffix: str
 
 
 def ordered(df: DataFrame, shelf: list[str], title: str, name: str) -> DataFrame:
-    """Rows with their place on their shelf (from 1): by title without ASCII case, then by name."""
-    w = Window.partitionBy(*shelf).orderBy(T.ascii_lower(title), name)
-    return df.withColumn("place", F.row_number().over(w).cast("long"))
+    """Rows with their place on their shelf (from 1): by title without ASCII case, then by name; a shelf is never sorted in one task."""
+    return intervals.placed(df, shelf, [T.ascii_lower(title), F.col(name)], "place")
 
 
 def refresh(current: DataFrame, memory: DataFrame, disk: DataFrame, key: str, stamp: str, value: str) -> DataFrame:
@@ -69,14 +69,27 @@ def deduplicated_names(df: DataFrame, stem: str, order: str) -> DataFrame:
 def upper_median(df: DataFrame, part: list[str], value: str) -> DataFrame:
     """(part..., median, n): the value at index n / 2 of the sorted ones, the upper of two middle ones.
 
-    Equal values are counted before the shuffle, so a part weighs as many rows as it has different values.
+    A sketch bounds the median from both sides: values below are counted, and only
+    those between the bounds, a few ten-thousandths of a part, are ranked.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("__c"))
+    known = df.where(F.col(value).isNotNull()).select(*part, F.col(value).alias("__v"))
+    sides = F.percentile_approx("__v", [0.5 - 2e-4, 0.5 + 2e-4], 10_000)  # each within 1e-4 of the rows
+    bounds = known.groupBy(*part).agg(sides.alias("__s")).select(*(F.col(p).alias(f"__{p}") for p in part), F.col("__s")[0].alias("__lo"), F.col("__s")[1].alias("__hi"))
+    same = F.lit(True)
+    for p in part:
+        same = same & F.col(p).eqNullSafe(F.col(f"__{p}"))
+    near = F.when(F.col("__v").between(F.col("__lo"), F.col("__hi")), F.col("__v"))
+    counts = known.join(bounds, same).withColumn("__near", near).groupBy(*part, "__near").agg(
+        F.count(F.lit(1)).alias("__c"), F.count_if(F.col("__v") < F.col("__lo")).alias("__below")
+    )
     w = Window.partitionBy(*part)
-    upto = F.sum("__c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.select(*part, value, "__c", upto.alias("__u"), F.sum("__c").over(w).alias("n"))
-    middle = F.floor(F.col("n") / 2)
-    return ranked.where((F.col("__u") - F.col("__c") <= middle) & (middle < F.col("__u"))).select(*part, F.col(value).alias("median"), "n")
+    ranked = counts.select(
+        *part, "__near", "__c", F.sum("__c").over(w).alias("n"), F.sum("__below").over(w).alias("__b"),
+        F.sum(F.when(F.col("__near").isNotNull(), F.col("__c")).otherwise(0)).over(w.orderBy(F.asc_nulls_first("__near")).rowsBetween(Window.unboundedPreceding, 0)).alias("__u"),
+    )
+    upto, middle = F.col("__b") + F.col("__u"), F.floor(F.col("n") / 2)
+    hit = F.col("__near").isNotNull() & (upto - F.col("__c") <= middle) & (middle < upto)
+    return ranked.where(hit).select(*part, F.col("__near").alias("median"), "n")
 
 
 def book_titles(df: DataFrame) -> DataFrame:

@@ -27,19 +27,19 @@ def _count(source: str, items: str, name: str) -> str:
 
 
 _DRAWN = f"""
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-d AS (SELECT doc_id, line, line_no, unnest({_words("line")}) AS word, generate_subscripts({_words("line")}, 1) = 1 AS opening FROM l),
-c AS (SELECT doc_id, word, count(*) FILTER (opening) AS drawn_opening, count(*) FILTER (NOT opening) AS drawn_inline FROM d GROUP BY ALL)"""
+l AS MATERIALIZED (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+d AS MATERIALIZED (SELECT doc_id, line, line_no, unnest({_words("line")}) AS word, generate_subscripts({_words("line")}, 1) = 1 AS opening FROM l),
+c AS MATERIALIZED (SELECT doc_id, word, count(*) FILTER (opening) AS drawn_opening, count(*) FILTER (NOT opening) AS drawn_inline FROM d GROUP BY ALL)"""
 
 
 def _deficit(html: int, name: str) -> str:
     return f"""
-{name}_a AS (SELECT c.*, coalesce(m.n, 0) AS emitted_markdown, coalesce(h.n, 0) AS emitted_html
+{name}_a AS MATERIALIZED (SELECT c.*, coalesce(m.n, 0) AS emitted_markdown, coalesce(h.n, 0) AS emitted_html
   FROM c LEFT JOIN {_count(_kept(7), _words("text"), "word")} m USING (doc_id, word)
          LEFT JOIN {_count(_kept(html), _words("text"), "word")} h USING (doc_id, word)),
 {name}_b AS (SELECT *, least(emitted_markdown, emitted_html) AS emitted,
   drawn_opening + drawn_inline - least(emitted_markdown, emitted_html) AS shortfall FROM {name}_a),
-{name} AS (SELECT doc_id, word, drawn_opening, drawn_inline, emitted, shortfall - least(shortfall, drawn_opening) AS unaccounted,
+{name} AS MATERIALIZED (SELECT doc_id, word, drawn_opening, drawn_inline, emitted, shortfall - least(shortfall, drawn_opening) AS unaccounted,
   emitted_markdown, greatest(0, drawn_opening + drawn_inline - emitted_markdown - drawn_opening) AS unaccounted_markdown,
   emitted_html, greatest(0, drawn_opening + drawn_inline - emitted_html - drawn_opening) AS unaccounted_html
   FROM {name}_b WHERE shortfall > 0)"""
@@ -48,8 +48,8 @@ def _deficit(html: int, name: str) -> str:
 _LINKS = r"""
 own AS (SELECT page_id, generate_subscripts(h, 1) AS ord, regexp_replace(unnest(h), '^/', '') AS anchor
         FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages)),
-firsts AS (SELECT anchor, min(page_id) AS p FROM own WHERE ord % 2 = 1 GROUP BY 1),
-toc AS (SELECT """ + UP.format("anchor") + """ AS folded_id, CAST(min(page_id) AS VARCHAR) AS toc_topic FROM own WHERE page_id % 3 = 0 GROUP BY 1)"""
+firsts AS (SELECT anchor, min(page_id) AS p FROM own WHERE ord = 1 GROUP BY 1),
+toc AS (SELECT """ + UP.format("anchor") + """ AS folded_id, CAST(min(page_id) AS VARCHAR) AS toc_topic FROM own WHERE ord = 2 GROUP BY 1)"""
 
 _SPANS = "(SELECT user_id, event_id AS \"begin\", event_id + 50 + event_id % 400 AS \"end\" FROM events{})"
 
@@ -102,8 +102,8 @@ WHERE b.n IS DISTINCT FROM c.n""",
     "ratchet_regressions": f"""WITH {_DRAWN},{_deficit(11, 'x')},{_deficit(3, 'y')}
 SELECT doc_id, word, coalesce(x.unaccounted, 0) AS "before", y.unaccounted AS now, y.unaccounted - coalesce(x.unaccounted, 0) AS increase
 FROM y LEFT JOIN x USING (doc_id, word) WHERE y.unaccounted > coalesce(x.unaccounted, 0)""",
-    "catalog_merge": """WITH t AS (SELECT 'P' || p_partkey AS folded_id, 'p' || p_partkey AS topic_id, p_partkey AS topic_no FROM part WHERE p_partkey % 3 <> 0),
-c AS (SELECT 'P' || l_partkey AS folded_id, string_agg(CAST(l_orderkey * 10 + l_linenumber AS VARCHAR), ',' ORDER BY l_orderkey * 10 + l_linenumber) AS toc FROM lineitem GROUP BY 1)
+    "catalog_merge": """WITH t AS (SELECT 'P' || s_suppkey * 3 AS folded_id, 'p' || s_suppkey * 3 AS topic_id, s_suppkey AS topic_no FROM supplier),
+c AS (SELECT 'P' || o_custkey AS folded_id, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS toc FROM orders GROUP BY 1)
 SELECT folded_id, coalesce(topic_id, folded_id) AS topic_id, topic_no, toc, toc IS NOT NULL AS in_toc FROM t FULL JOIN c USING (folded_id)""",
     "in_toc_flags": """SELECT d.doc_id AS topic_id, l.doc_id IS NOT NULL AS in_toc, quality AS toc_level, toxic AS toc_style
 FROM documents d LEFT JOIN labels l USING (doc_id)""",
@@ -155,7 +155,7 @@ WHERE stop IS NULL OR event_id <= stop""",
     WHEN len({_words("text")}) < 30 THEN 'short' ELSE 'prose' END AS route,
   CASE WHEN toxic = 1 THEN 'failed' WHEN quality = 0 THEN 'best-effort' WHEN quality = 1 THEN 'typed' ELSE 'typed-degraded' END AS severity, count(*) AS n
 FROM (SELECT coalesce(text, '') AS text, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY ALL""",
-    "shelf_listing": f"SELECT source, row_number() OVER (PARTITION BY source ORDER BY {LOW.format('substr(text, 1, 40)')}, doc_id) AS place, doc_id FROM documents",
+    "shelf_listing": f"SELECT source, row_number() OVER (PARTITION BY source ORDER BY {LOW.format('text')}, doc_id) AS place, doc_id FROM documents",
     "file_identity": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256 FROM documents",
     "duplicate_texts": "SELECT sha256(text) AS sha256, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "numbered_depth": """SELECT *, CASE WHEN regexp_full_match(topic_id, '[0-9]+(\\.[0-9]+)*') THEN CAST(len(string_split(regexp_replace(topic_id, '\\.0$', ''), '.')) - 1 AS INTEGER) ELSE 0 END AS depth
@@ -173,5 +173,8 @@ FROM (SELECT l_orderkey, l_linenumber, l_orderkey || '.' || CASE WHEN l_linenumb
     "set_difference": """WITH a AS (SELECT DISTINCT c_custkey AS id FROM customer), b AS (SELECT DISTINCT o_custkey + 7 AS id FROM orders)
 SELECT id, 'left' AS only_in FROM a ANTI JOIN b USING (id) UNION ALL SELECT id, 'right' FROM b ANTI JOIN a USING (id)""",
     "folded_words": f"""SELECT p_partkey, {UP.format("p_name")} AS upper_name, {_STEM.format("p_name")} AS stem, trim(regexp_replace(p_type, '[ \\t\\n]+', ' ', 'g')) AS kind,
-  replace(replace(replace(replace(p_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, true AS safe FROM part""",
+  replace(replace(replace(replace(p_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM part""",
+    "safe_links": """WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) FROM pages),
+x AS (SELECT page_id, unnest([url, ' JavaScript:' || url, 'MAILTO:' || url, 'data' || string_split(url, '/')[1] || ':x']) AS url FROM u)
+SELECT page_id, url, bool_and(NOT regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*:') OR regexp_matches(lower(trim(url)), '^(https?|ftp|mailto):')) AS safe, count(*) AS n FROM x GROUP BY 1, 2""",
 }

@@ -22,9 +22,8 @@ def _kept_lines(docs: DataFrame, drop: int) -> DataFrame:
 
 def _deficits(spark: SparkSession, sf_dir: str, html_drop: int) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    drawn = multiset.drawn_counts(multiset.drawn_words(docs, "doc_id"), "doc_id")
-    markdown, html = (multiset.words(_kept_lines(docs, n), "doc_id") for n in (7, html_drop))
-    return multiset.word_deficits(drawn, markdown, html, "doc_id")
+    markdown, html = (multiset.occurrences(_kept_lines(docs, n), "doc_id", T.words("text"), "word") for n in (7, html_drop))
+    return multiset.word_deficits(multiset.drawn_words(docs, "doc_id"), markdown, html, "doc_id")
 
 
 def q_search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +45,7 @@ def q_word_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_deficit_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
     wanted = _deficits(spark, sf_dir, 11).where("unaccounted > 1")
-    return multiset.evidence(multiset.drawn_words(docs, "doc_id"), wanted, "doc_id")
+    return multiset.evidence(docs, wanted, "doc_id")
 
 
 def q_deficit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +59,7 @@ def q_punctuation_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_char_multiset_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    return multiset.delta(multiset.characters(docs, "doc_id"), multiset.characters(_kept_lines(docs, 7), "doc_id"), ["doc_id", "ch"])
+    return multiset.character_delta(docs, _kept_lines(docs, 7), "doc_id")
 
 
 def q_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +73,9 @@ def q_ratchet_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_catalog_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    topics = _t(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("topic_id"), F.col("p_partkey").alias("topic_no"))
-    toc = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey")).alias("topic_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("toc_index"))
+    """Suppliers are topics and customers' orders their entries, so both sides have ids that the other lacks."""
+    topics = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), F.col("s_suppkey") * 3).alias("topic_id"), F.col("s_suppkey").alias("topic_no"))
+    toc = _t(spark, sf_dir, "orders").select(F.concat(F.lit("P"), F.col("o_custkey")).alias("topic_id"), F.col("o_orderkey").alias("toc_index"))
     out = catalog.catalog(topics, toc)
     return out.select("folded_id", "topic_id", "topic_no", F.array_join(F.transform("toc", lambda x: x.cast("string")), ",").alias("toc"), "in_toc")
 
@@ -119,10 +119,12 @@ def q_merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views that overlap clicks of the same user: the join is of two kinds of events."""
     return intervals.overlaps(_event_spans(spark, sf_dir, "view"), _event_spans(spark, sf_dir, "click"), ["user_id"], 500)
 
 
 def q_point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event in the union of its user's click spans."""
     e = _t(spark, sf_dir, "events")
     w = intervals.merged(_event_spans(spark, sf_dir, "click"), ["user_id"]).withColumn("span", F.col("begin"))
     return intervals.containing(e.select("user_id", "event_id"), w, ["user_id"], "event_id", ["span"])
@@ -147,13 +149,14 @@ def q_link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links; anchors, which a page's first link names; and contents entries, which its second link names."""
     pages = _t(spark, sf_dir, "pages")
     own = links.extracted(pages, "page_id")
     hrefs = own.select(F.lit("b").alias("book_id"), "page_id", "ord", F.col("page_id").cast("string").alias("topic_id"), F.regexp_replace("href", "^/", "").alias("anchor"))
     words = own.select(F.lit("b").alias("book_id"), F.regexp_replace("href", "^/", "").alias("anchor"), "page_id", "ord")
-    first = words.where("ord % 2 = 1").groupBy("book_id", "anchor").agg(F.min("page_id").alias("p"))
+    first = words.where("ord = 1").groupBy("book_id", "anchor").agg(F.min("page_id").alias("p"))
     anchors = first.select("book_id", "anchor", F.when(F.col("p") % 5 != 0, F.col("p").cast("string")).alias("dest_topic"), F.col("anchor").alias("fragment"), F.when(F.col("p") % 5 == 0, F.col("p").cast("string")).alias("resource"))
-    toc = words.where("page_id % 3 = 0").groupBy("book_id", T.ascii_upper("anchor").alias("folded_id")).agg(F.min("page_id").cast("string").alias("toc_topic"))
+    toc = words.where("ord = 2").groupBy("book_id", T.ascii_upper("anchor").alias("folded_id")).agg(F.min("page_id").cast("string").alias("toc_topic"))
     return hrefs, anchors, toc
 
 
@@ -206,7 +209,7 @@ def q_route_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_shelf_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select("source", "doc_id", F.substring("text", 1, 40).alias("title"))
+    docs = _t(spark, sf_dir, "documents").select("source", "doc_id", F.col("text").alias("title"))
     return shelf.ordered(docs, ["source"], "title", "doc_id").select("source", "place", "doc_id")
 
 
@@ -261,7 +264,15 @@ def q_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part")
-    return part.select("p_partkey", T.ascii_upper("p_name").alias("upper_name"), T.file_stem("p_name").alias("stem"), T.collapse_whitespace("p_type").alias("kind"), T.html_escape("p_name", True).alias("escaped"), T.safe_href("p_name").alias("safe"))
+    return part.select("p_partkey", T.ascii_upper("p_name").alias("upper_name"), T.file_stem("p_name").alias("stem"), T.collapse_whitespace("p_type").alias("kind"), T.html_escape("p_name", True).alias("escaped"))
+
+
+def q_safe_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of a page, its address, and texts with colons: which may be followed."""
+    pages = _t(spark, sf_dir, "pages")
+    urls = links.extracted(pages, "page_id").select("page_id", F.col("href").alias("url")).unionByName(pages.select("page_id", "url"))
+    odd = F.explode(F.array(F.col("url"), F.concat(F.lit(" JavaScript:"), "url"), F.concat(F.lit("MAILTO:"), "url"), F.concat(F.lit("data"), F.substring_index("url", "/", 1), F.lit(":x"))))
+    return urls.select("page_id", odd.alias("url")).groupBy("page_id", "url").agg(F.bool_and(T.safe_href("url")).alias("safe"), F.count(F.lit(1)).alias("n"))
 
 
 def q_toc_title_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,11 +67,42 @@ def test_intervals(spark):
     df = spark.createDataFrame([(1, 0, 2), (1, 2, 4), (1, 6, 6), (1, 7, 9), (2, 0, 1)], "k int, begin long, end long")
     assert rows(intervals.merged(df, ["k"])) == [(1, 0, 4), (1, 7, 9), (2, 0, 1)]
     assert intervals.overlaps(df, df, ["k"], 3).count() == 4
-    assert intervals.merged(df.limit(0), ["k"]).count() == 0
+    assert intervals.merged(df.limit(0), ["k"]).count() == 0 and intervals.overlaps(df.limit(0), df, ["k"], 3).count() == 0
     pages = spark.createDataFrame([("b", k, c) for k, c in enumerate([1, 1, None, None, 2, 1])], "book_id string, page_no int, page_class int")
     assert [tuple(r) for r in intervals.page_runs(pages).orderBy("run").collect()] == [("b", 1, 1, 0, 1, 2), ("b", 2, None, 2, 3, 2), ("b", 3, 2, 4, 4, 1), ("b", 4, 1, 5, 5, 1)]
 
 
+def test_overlaps_of_any_length_by_brute_force(spark):
+    import random
+
+    random.seed(3)
+    some = lambda n: [(random.randrange(2), b, b + random.choice([0, 1, 2, 5, 40, 700, 20_000])) for b in (random.randrange(-900, 3000) for _ in range(n))]
+    x, y = some(60), some(50)
+    a, b = (spark.createDataFrame(v, "k int, begin long, end long") for v in (x, y))
+    want = sorted((k, b1, e1, b2, e2) for k, b1, e1 in x for q, b2, e2 in y if k == q and b1 < e2 and b2 < e1 and b1 < e1 and b2 < e2)
+    assert sorted(tuple(r) for r in intervals.overlaps(a, b, ["k"], 3).select("k", "a_begin", "a_end", "b_begin", "b_end").collect()) == want
+
+
+def test_places_and_neighbours_of_a_part_over_many_ranges(spark):
+    values = [(None if i % 5 == 0 else "hot" if i % 5 < 4 else f"s{i}", (i * 37) % 101) for i in range(101)]
+    df = spark.createDataFrame(values, "part string, v int")
+    groups = {p: sorted(v for q, v in values if q == p) for p in {q for q, _ in values}}
+    placed = {(r.part, r.v): r.place for r in intervals.placed(df, ["part"], [F.col("v")], "place").collect()}
+    beside = {(r.part, r.v): (r.previous, r.next) for r in intervals.neighbours(df, ["part"], "v", "v").collect()}
+    for p, own in groups.items():
+        for k, v in enumerate(own):
+            assert placed[p, v] == k + 1 and beside[p, v] == (own[k - 1] if k else None, own[k + 1] if k + 1 < len(own) else None)
+
+
+def test_medians_by_sorting(spark):
+    import random
+
+    random.seed(7)
+    parts = {p: [random.choice([random.random(), float(random.randrange(4))]) for _ in range(n)] for p, n in (("a", 1), ("b", 2), ("c", 31), ("d", 30_000))}
+    df = spark.createDataFrame([(p, v) for p, x in parts.items() for v in [*x, None]], "p string, v double")
+    assert {r.p: (r.median, r.n) for r in shelf.upper_median(df, ["p"], "v").collect()} == {p: (sorted(x)[len(x) // 2], len(x)) for p, x in parts.items()}
+
+
 def test_links(spark):
     t = spark.createDataFrame([("b", 1, "X", "figure", "d1"), ("b", 2, "X", "table", "d2")], "book string, ord int, anchor string, kind string, dest string")
     assert rows(links.link_map(t, ["book"])) == [("b", "FIGX", "d1"), ("b", "TBLX", "d2"), ("b", "X", "d1")]
@@ -80,9 +111,17 @@ def test_links(spark):
     assert [x.href for x in links.rendered_targets(r).collect()] == ["a", "#a", "#", "#", "#", "u"]
     blocks = spark.createDataFrame([("t", 1, "anchor", "a", None), ("t", 2, "thematic_break", None, None), ("t", 3, "figure", None, "r"), ("t", 4, "anchor", "b", None), ("t", 5, "paragraph", None, None), ("t", 6, "figure", None, "s")], "t string, ord int, kind string, anchor string, resource string")
     assert rows(links.figure_anchors(blocks, ["t"], "ord")) == [("t", "a", "r")]
-    items = spark.createDataFrame([("m1", "A"), ("m1", "zz"), ("m2", "a")], "menu string, target string")
-    cat = spark.createDataFrame([("A",)], "folded_id string")
-    assert rows(links.menus_valid(items, cat, ["menu"])) == [("m2", "a")]
+
+
+def test_menus_are_checked_against_their_own_book(spark):
+    items = spark.createDataFrame(
+        [("b1", "m1", "A", "one"), ("b1", "m1", "zz", "two"), ("b1", "m2", "a", " ONE  topic"), ("b1", "m3", "only2", "x"), ("b2", "m3", "only2", "x"), ("b2", "m4", "ONLY2", "Second title")],
+        "book string, menu string, target string, label string",
+    )
+    cat = spark.createDataFrame([("b1", "A", "One topic", None), ("b2", "ONLY2", "First title", "second title")], "book string, folded_id string, topic_title string, toc_title string")
+    fine = lambda *label: sorted((r.book, r.menu) for r in links.menus_valid(items, cat, ["menu"], ["book"], *label).collect())
+    assert fine() == [("b1", "m2"), ("b2", "m3"), ("b2", "m4")]
+    assert fine("label") == [("b1", "m2"), ("b2", "m4")]
 
 
 def test_search(spark):
