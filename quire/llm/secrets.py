@@ -12,7 +12,6 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quire.llm import trigrams
 from quire.llm._batches import bound_batches, map_chunks, settle, texts
@@ -83,7 +82,10 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
 
 def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The same rows and columns, with each secret in the text replaced by its kind in brackets; a null text stays null."""
+    """The same rows and columns, with each secret in the text replaced by its kind in brackets; a null text stays null.
+
+    Columns are passed on by their place, so names that differ in case only do not clash.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -91,7 +93,6 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
         settle()
         scanner = Scanner(rules)
         for batch in batches:
-            at = batch.schema.names.index(text_col)
             held = batch.column(at)
             size = max(1, batch.num_rows * (4 << 20) // max(1, held.nbytes))
             out = []
@@ -103,7 +104,8 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
             columns[at] = pa.array(out, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    if len({c.lower() for c in docs.columns}) < len(docs.columns) or text_col not in docs.columns:
-        raise ValueError("mask_secrets needs distinct column names and the text column")
+    names = docs.columns
+    at = names.index(text_col)
     bound_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema).select([F.col(f"`{c}`") for c in docs.columns])
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from quire.llm._batches import settle
 
-#: Vectors in a shard, and queries in a block.
-SHARD, BLOCK = 1 << 15, 1 << 12
+#: Vectors in a shard, and queries in a block, and bytes of either: wide vectors make smaller ones.
+SHARD, BLOCK, PACK_BYTES = 1 << 15, 1 << 12, 16 << 20
 #: Segments in a dimension of a shard.
 LEVELS = 8
 #: Impacts in a dimension of a shard; a posting's is its value, rounded down to one of them.
@@ -114,7 +114,7 @@ class Shard:
 
 
 def _pack(size: int):
-    """Rows (id, values) to packed rows (n, dims, ids, values), each of at most `size` vectors of one length."""
+    """Rows (id, values) to packed rows (n, dims, ids, values), each of at most `size` vectors, or PACK_BYTES, of one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
@@ -134,11 +134,12 @@ def _pack(size: int):
             starts = np.concatenate([[0], np.cumsum(lengths)])
             for dims in np.unique(lengths).tolist():
                 rows = np.nonzero(lengths == dims)[0]
-                values = flat[starts[rows][:, None] + np.arange(dims)[None, :]].astype(np.int64)
-                for i in range(0, len(rows), size):
-                    held.setdefault(dims, []).append((ids[rows[i : i + size]], values[i : i + size]))
-                    if sum(len(x[0]) for x in held[dims]) >= size:
+                most = max(1, min(size, PACK_BYTES // (8 * max(dims, 1))))
+                for i in range(0, len(rows), most):
+                    part = rows[i : i + most]
+                    if sum(len(x[0]) for x in held.get(dims, ())) + len(part) > most:
                         yield packed(dims)
+                    held.setdefault(dims, []).append((ids[part], flat[starts[part][:, None] + np.arange(dims)[None, :]].astype(np.int64)))
         for dims in list(held):
             yield packed(dims)
 

@@ -24,6 +24,17 @@ def lower(text: bytes) -> bytes:
     return text.lower()  # bytes: A-Z only
 
 
+def _folds(c: str, flags: int) -> bool:
+    """Whether a character of an expression may match others than itself and, for A-Z, its other case.
+
+    Without ASCII, letters of other scripts have cases of their own, and a few of
+    them (a long s, the Kelvin sign, dotted and dotless i) match ASCII letters.
+    """
+    if not flags & re.IGNORECASE or flags & re.ASCII and c.isascii():
+        return False
+    return not c.isascii() or c in "iIkKsS"
+
+
 def _join(kind: str, parts: Iterable) -> tuple | bytes:
     found = set()
     for p in parts:
@@ -67,8 +78,10 @@ def _sequence(nodes, flags: int) -> tuple[set[str] | None, tuple | bytes]:
 
 def _node(op, arg, flags: int) -> tuple[set[str] | None, tuple | bytes]:
     if op is C.LITERAL:
-        return {chr(arg)}, ALL
+        return (None, ALL) if _folds(chr(arg), flags) else ({chr(arg)}, ALL)
     if op is C.IN:
+        if flags & re.IGNORECASE and not flags & re.ASCII:
+            return None, ALL
         chars: set[str] = set()
         for kind, x in arg:
             if kind is C.LITERAL:
@@ -84,7 +97,7 @@ def _node(op, arg, flags: int) -> tuple[set[str] | None, tuple | bytes]:
             return set().union(*(s for s, _ in found)), ALL
         return None, _join("or", [_of_strings(s) if s is not None else q for s, q in found])
     if op is C.SUBPATTERN:
-        return _sequence(arg[3], flags)
+        return _sequence(arg[3], (flags | arg[1]) & ~arg[2])
     if op is C.ATOMIC_GROUP:
         return _sequence(arg, flags)
     if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
@@ -103,7 +116,7 @@ def _node(op, arg, flags: int) -> tuple[set[str] | None, tuple | bytes]:
 def query(pattern: str, flags: int = 0) -> tuple | bytes:
     """The Boolean trigram query of an expression: every text with a match satisfies it."""
     parsed = _parser.parse(pattern, flags)
-    strings, needs = _sequence(parsed, flags)
+    strings, needs = _sequence(parsed, parsed.state.flags)
     return _of_strings(strings) if strings is not None else needs
 
 
