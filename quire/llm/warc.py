@@ -47,6 +47,7 @@ MANIFEST = "_manifest.json"
 FILE_BYTES = 64 << 20
 #: Bytes of a member that are read to find its headers; more if they are longer.
 HEAD_BYTES = 4096
+_NUMBER = re.compile(r"-?[0-9]{1,19}", re.ASCII)
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -174,35 +175,53 @@ class Member:
         if self.plain:
             self.next = at + self.start + self.size + 4
 
-    def _more(self) -> bool:
+    def _raw(self) -> bytes | None:
+        """The next bytes of the content; None at its end."""
         if not self.plain and self.inflate.eof:
-            return False
+            return None
         self.source.seek(self.read_to)
         raw = self.source.read(1 << 16)
         self.read_to += len(raw)
-        self.content += raw if self.plain else self.inflate.decompress(raw)
-        return bool(raw)
+        return (raw if self.plain else self.inflate.decompress(raw)) if raw else None
+
+    def _more(self) -> bool:
+        raw = self._raw()
+        self.content += raw or b""
+        return raw is not None
 
     def block(self) -> bytes:
-        while len(self.content) < self.start + self.size and self._more():
-            pass
-        if len(self.content) < self.start + self.size:
+        """The record's block; its parts are joined once."""
+        parts, held = [self.content], len(self.content)
+        while held < self.start + self.size and (raw := self._raw()) is not None:
+            parts.append(raw)
+            held += len(raw)
+        self.content = b"".join(parts)
+        if held < self.start + self.size:
             raise ValueError(f"the record at byte {self.at} is cut off")
         return self.content[self.start : self.start + self.size]
 
+    def payload(self) -> bytes:
+        """The block; of an HTTP message, what follows its headers."""
+        block = self.block()
+        kind = self.lower.get("content-type", "").partition(";")[0].strip().lower()
+        if kind == "application/http" or not kind and block[:5] == b"HTTP/":
+            return block.partition(b"\r\n\r\n")[2]
+        return block
+
     def end(self) -> int:
         """Where the next record starts; only a member without its length has to be inflated for it."""
         if self.next is None:
             while not self.inflate.eof:
-                self.content = self.content[: self.start + self.size]
-                if not self._more():
+                if self._raw() is None:  # what is inflated only to find the end is not held
                     raise ValueError(f"the record at byte {self.at} is cut off")
             self.next = self.read_to - len(self.inflate.unused_data)
         return self.next
 
 
 def _int(x: str | None) -> int | None:
-    return int(x) if x is not None and x.lstrip("-").isdigit() else None
+    """A header's number; null if it is none, or does not fit into 64 bits."""
+    found = int(x) if x is not None and _NUMBER.fullmatch(x) else None
+    return found if found is not None and -(1 << 63) <= found < 1 << 63 else None
 
 
 def fields(m: Member) -> dict:
@@ -220,6 +239,14 @@ def fields(m: Member) -> dict:
     }
 
 
+def _sound(payload: bytes, headers: dict[str, str]) -> bool:
+    """Whether a payload has the length and the SHA-1 that its headers give, as far as they give them."""
+    told = headers.get("warc-payload-digest", "")
+    if told.lower().startswith("sha1:") and told[5:].strip().upper() != digest(payload):
+        return False
+    return _int(headers.get("x-payload-length")) in (None, len(payload))
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"].rstrip("/")
@@ -253,9 +280,9 @@ class WarcReader(DataSourceReader):
                 row = fields(m)
                 if all(row[c] in values for c, values in self.tests):
                     row |= {"headers": list(m.headers.items()), "payload": None}
-                    if (self.payload or self.verify) and row["record_type"] == "response":
-                        payload = m.block().partition(b"\r\n\r\n")[2]
-                        if self.verify and (digest(payload), len(payload)) != (row["payload_digest"], row["payload_bytes"]):
+                    if (self.payload or self.verify) and row["record_type"] != "revisit":  # which has none
+                        payload = m.payload()
+                        if self.verify and not _sound(payload, m.lower):
                             raise ValueError(f"the record at byte {at} of {part.file} is damaged")
                         row["payload"] = payload if self.payload else None
                     held.append(row)
