@@ -21,6 +21,10 @@ from quire.llm._batches import RESIDENT, map_chunks, texts
 from quire.llm.pieces import PieceCache
 
 NONE = 1 << 60
+# Fixed value: the public pattern whose pieces never go on past a single space.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A space beside other white space: there a piece may go on past it.
+_RUNS = regex.compile(r"\s | \s")
 
 
 def load_ranks(blob: bytes) -> dict[bytes, int]:
@@ -102,12 +106,14 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encode and decode whole texts; `pattern` splits a text into pieces.
 
-    A piece never starts with a non-space and goes on past a space, so a text
-    without runs of spaces can be cut before each space and each cut cached.
+    Where the pattern is CUTS, a text without a space beside other white space is cut
+    before each space, as no piece goes on past one there, and each cut is cached.
+    Other texts, and all texts of other patterns, are split whole.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 150_000) -> None:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.cuts = pattern == CUTS
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.names = {str(v): k for k, v in ranks.items()}
         piece = PieceCache(lambda p: " ".join(map(str, encode_piece(p.encode("utf-8"), ranks))), 2 * cached)
@@ -118,7 +124,7 @@ class Codec:
         """Decimal ids, joined by one space."""
         if not text:
             return ""
-        if "  " in text or text[-1].isspace() or "　" in text:
+        if not self.cuts or _RUNS.search(text) or text[-1].isspace():
             piece = self.piece
             return " ".join([piece[p] for p in self.split(text)])
         first, *rest = text.split(" ")

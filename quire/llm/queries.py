@@ -27,8 +27,10 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), path, least_bytes=0)
-    read = warc.read_warc(spark, path, payload=False, verify=True)
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    whole = warc.read_warc(spark, path, payload=False, verify=True, where={"record_type": ["response"]})  # payloads are read, and checked
+    heads = warc.read_warc(spark, path, payload=False, where={"record_type": ["revisit"]})  # responses are skipped by their length
+    return whole.select(columns).unionByName(heads.select(columns))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.digest(pii.find_pii(_table(spark, sf_dir, "documents")), pii.BASE)
+    return spans.digest(pii.find_pii(_table(spark, sf_dir, "documents")), pii.BASE, scores=True)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).drop("passages")
+    return toxicity.score(docs, model)
 
 
 def queries() -> dict:

@@ -17,14 +17,15 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
-def digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
-    """doc_id, n_<kind> of each base kind, base_sha256 and spans, from rows of doc_id and spans."""
+def digest(found: DataFrame, base: tuple[str, ...], scores: bool = False) -> DataFrame:
+    """doc_id, n_<kind> of each base kind, base_sha256 and spans, from rows of doc_id and spans; with `scores`, theirs in the same order."""
     kinds = F.filter("spans", lambda s: s["kind"].isin(*base))
     return found.select(
         "doc_id",
         *map(_count, base),
         F.sha2(joined(kinds), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        *([F.transform("spans", lambda s: F.round(s["score"], 3)).alias("scores")] if scores else []),
     )
 
 

@@ -85,6 +85,23 @@ def test_top_k_of_large_components(spark):
         topk.top_k(v, v.where("id = 61"), 4).collect()
 
 
+def test_wide_vectors_make_smaller_shards(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-9, 9, 12).tolist()) for i in range(90)]
+    v = spark.createDataFrame(rows, "id long, values array<long>").repartition(2)
+    monkeypatch.setattr(topk, "PACK_BYTES", 8 * 12 * 20)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([r[0] for r in rows]), "values": pa.array([r[1] for r in rows])})
+    assert [b["n"][0].as_py() for b in topk._pack(1000)(iter([batch, batch.slice(0, 5)]))] == [20, 20, 20, 20, 15]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v, v.where("id % 30 = 0"), 3).collect())
+    want = []
+    for q, x in rows[::30]:
+        best = sorted((-int(np.dot(x, y)), i) for i, y in rows if i != q)[:3]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == want
+
+
 def test_top_k_when_the_query_has_several_rows():
     rng = np.random.default_rng(0)
     values = rng.integers(-50, 50, (2000, 4))
@@ -115,6 +132,25 @@ def test_trigram_queries():
     assert trigrams.query("a(?:bcd)?e") == trigrams.ALL
 
 
+def test_trigram_queries_let_other_cases_through():
+    random.seed(12)
+    patterns = ["éclair", "passk", "k[éa]y+", "(?i:straße)x", "(?i)mask|ﬁn", "x(?-i:SIK)é", "ab(?:ſé|kelvin)cd"]
+    letters = ["éclair", "ÉCLAIR", "paſſK", "PASSK", "KEY", "kÉyy", "STRASSEX", "STRAẞEX", "ſtraßex", "MASK", "ma\u017fk", "FIN", "ﬁn", "xSIKÉ", "xsiké", "AB\u017fÉCD", "ab\u212aelvincd", " ", "q"]
+    for p in patterns:
+        for flags in (0, re.IGNORECASE, re.ASCII, re.IGNORECASE | re.ASCII):
+            rule = secrets.Rule("x", p, 1, 0, flags)
+            scanner = secrets.Scanner((rule,))
+            for _ in range(60):
+                text = "".join(random.choice(letters) for _ in range(random.randint(0, 4)))
+                assert [(s, e) for _, s, e in scanner.scan([text.encode()])[0]] == [m.span() for m in re.finditer(p, text, flags) if m[0]], (p, flags, text)
+
+
+def test_masking_keeps_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, 'token = "abcdef012345678"', "Text", 5)], "doc_id long, text string, TEXT string, kind int")
+    out = secrets.mask_secrets(df)
+    assert out.columns == df.columns and tuple(out.first()) == (1, '[ASSIGN]"', "Text", 5)
+
+
 def test_secret_scan_edges(spark, edges):
     rows = spans.digest(secrets.find_secrets(edges), ("assign", "access", "hex")).collect()
     assert len(rows) == edges.count() and all(r.spans == "" for r in rows)
@@ -336,6 +372,10 @@ def test_pii():
         assert base_sha([s for s in pii.find(t)], list(pii.BASE)) == base_sha(pii_by_expressions(t), list(pii.BASE)), t
     t = "my bank account: GB82 WEST 1234 5698 7654 32, test 4111 1111 1111 1111"
     assert [k for k, *_ in pii.find(t)] == ["iban", "card"]
+    for after in (" CODE", " 12", "\n", ".", ""):
+        assert [(k, x, y) for k, x, y in pii.find("ES91 2100 0418 4502 0005 1332" + after) if k == "iban"] == [("iban", 0, 29)], after
+    assert not [k for k, *_ in pii.find("ES91 2100 0418 4502 0005 1332X") if k == "iban"]
+    assert pii.score("Konto DE89370400440532013000", "iban", 6, 28) > pii.PRIOR["iban"]
     assert pii.score(t, *pii.find(t)[0]) > pii.PRIOR["iban"] and pii.score(t, *pii.find(t)[1]) < pii.PRIOR["card"]
 
 
@@ -566,6 +606,28 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_warc_written_by_hand(spark, tmp_path):
+    """Records of other writers: lower-case headers, no lengths of ours, payloads that are no HTTP messages, numbers that are none."""
+    import base64
+    import gzip
+
+    def by_hand(kind, body, *more):
+        return "\r\n".join(["WARC/1.0", f"warc-type: {kind}", *more, f"content-length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.0 200 OK\r\nX: y\r\n\r\n"
+    sha = "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"<p>").digest()).decode()
+    long = b"z" * 300_000
+    records = [by_hand("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), by_hand("response", http + b"<p>", sha, "Content-Type: application/http;msgtype=response", "X-Page-ID: --5"),
+               by_hand("resource", b"a\r\n\r\nb", "Content-Type: text/plain", "X-Page-ID: 99999999999999999999"), by_hand("conversion", long)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    rows = warc.read_warc(spark, str(tmp_path), verify=True).collect()
+    assert sorted((r.record_type, bytes(r.payload), r.page_id) for r in rows) == sorted([("warcinfo", b"software: x\r\n", None), ("response", b"<p>", None), ("resource", b"a\r\n\r\nb", None), ("conversion", long, None)] * 2)
+    (tmp_path / "a.warc").write_bytes(records[1].replace(b"<p>", b"<q>"))
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_warc(spark, str(tmp_path), verify=True).collect()
+
+
 def test_warc_reads_other_archives(spark, tmp_path):
     import gzip
 
