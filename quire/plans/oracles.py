@@ -177,4 +177,48 @@ SELECT id, 'left' AS only_in FROM a ANTI JOIN b USING (id) UNION ALL SELECT id,
     "safe_links": """WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) FROM pages),
 x AS (SELECT page_id, unnest([url, ' JavaScript:' || url, 'MAILTO:' || url, 'data' || string_split(url, '/')[1] || ':x']) AS url FROM u)
 SELECT page_id, url, bool_and(NOT regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*:') OR regexp_matches(lower(trim(url)), '^(https?|ftp|mailto):')) AS safe, count(*) AS n FROM x GROUP BY 1, 2""",
+    "control_kinds": """WITH w AS (SELECT l_linenumber AS n, CASE WHEN l_linenumber <= 6 THEN CAST(l_linenumber AS VARCHAR) ELSE 'x' END AS k FROM lineitem)
+SELECT CASE k WHEN '1' THEN 'topic_start' WHEN '2' THEN 'table_start' WHEN '3' THEN 'parent' WHEN '4' THEN 'structural' WHEN '5' THEN 'select' ELSE 'text' END AS kind,
+  CASE WHEN n BETWEEN 1 AND 9 THEN n - 1 ELSE 0 END AS depth, count(*) AS n, CASE k WHEN '3' THEN 1 WHEN '5' THEN 3 ELSE 0 END AS operands FROM (SELECT k, n AS n FROM w) GROUP BY ALL""",
+    "selector_links": """WITH s AS (SELECT s_suppkey, s_name, s_nationkey AS d, s_acctbal < 0 AS open,
+  ['book', 'hdr', 'spt', 'fig', 'tbl', 'figure', 'internet', 'image', 'menu'][s_suppkey % 9 + 1] AS k FROM supplier),
+e AS (SELECT *, CASE WHEN d = 1 THEN 'not six or seven alternatives' WHEN open THEN 'an alternative is not bracketed' WHEN k = 'book' AND d = 0 THEN 'no document number'
+  WHEN k IN ('hdr', 'spt', 'fig', 'tbl', 'figure') AND d = 0 THEN 'no document number or anchor' WHEN k IN ('internet', 'image') AND d = 0 THEN 'no external target' WHEN k = 'menu' THEN 'unknown kind' END AS error FROM s)
+SELECT s_suppkey, CASE WHEN error IS NULL THEN CASE k WHEN 'book' THEN 'book_contents' WHEN 'hdr' THEN 'book_heading' WHEN 'spt' THEN 'book_spot' WHEN 'internet' THEN 'external_link' WHEN 'image' THEN 'external_image' ELSE 'book_anchor' END END AS kind,
+  CASE WHEN error IS NULL THEN CASE WHEN k = 'book' THEN 'DOCNUM//D' || d || '/CCONTENTS' WHEN k IN ('internet', 'image') THEN '/D' || d ELSE 'DOCNUM//D' || d || '/' || upper(k) || s_name END END AS destination,
+  CASE WHEN error IS NULL AND k = 'image' THEN '/D' || d END AS image, error FROM e""",
+    "structure_census": r"""WITH t AS (SELECT doc_id, lang, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+c AS (SELECT CASE WHEN contains(text, ':') THEN ':' || lang END AS heading, contains(text, '@') AS s, contains(text, ' | ') AS b, contains(text, '!!') AS m, len(l) AS r,
+  len([x FOR x IN l IF regexp_matches(x, '^[ \t\n\x0B\f\r]*(o|-|\*|\x{00b0}|\x{2022}|[A-Za-z][.)]|[0-9]{1,3}[.)])[ \t\n\x0B\f\r]+[^ \t\n\x0B\f\r]')]) AS i FROM t),
+g AS (SELECT *, array_to_string([x FOR x IN [CASE WHEN i > 0 THEN 'lists' END, CASE WHEN b THEN 'tables' END, CASE WHEN s THEN 'selectors' END, CASE WHEN m THEN 'messages' END] IF x IS NOT NULL], '+') AS f FROM c)
+SELECT CASE WHEN f = '' THEN 'prose' ELSE f END AS signature, CASE f WHEN '' THEN 'heading + prose paragraphs only' WHEN 'lists' THEN 'prose + lists' WHEN 'tables' THEN 'contains fixed rows/tables'
+  WHEN 'selectors' THEN 'contains selectors/cross-references' WHEN 'messages' THEN 'messages' ELSE 'mixed' END AS "class", heading, count(*) AS n, CAST(sum(r) AS BIGINT) AS "rows", CAST(sum(i) AS BIGINT) AS list_rows FROM g GROUP BY ALL""",
+    "form_rows": """WITH s AS (SELECT *, count(*) FILTER (event_type IN ('purchase', 'view')) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events),
+g AS (SELECT user_id, s, string_agg(CAST(event_id AS VARCHAR), '<br>' ORDER BY event_id) AS a, coalesce(string_agg(event_type, '<br>' ORDER BY event_id) FILTER (event_type = 'click'), '') AS b
+  FROM s WHERE event_type IN ('purchase', 'click') GROUP BY user_id, s)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY s) AS INTEGER) AS "row", a, b FROM g""",
+    "numbered_steps": """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_linestatus) AS l_linestatus, min(l_returnflag) AS l_returnflag, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL),
+m AS (SELECT *, coalesce(l_linenumber = lag(l_linenumber) OVER w + 1 AND l_linestatus = lag(l_linestatus) OVER w AND l_returnflag <> 'R', false) AS f
+  FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)), r AS (SELECT *, count(*) FILTER (NOT f) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS g FROM m)
+SELECT l_orderkey, l_linenumber FROM (SELECT *, count(*) OVER p AS n, bool_and(l_suppkey > 5) OVER p AS ok FROM r WINDOW p AS (PARTITION BY l_orderkey, g)) WHERE n >= 2 AND ok""",
+    "declared_characters": """SELECT c_nationkey, string_agg(DISTINCT right(c_name, 1), '' ORDER BY right(c_name, 1)) AS characters FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1""",
+    "earliest_slices": """SELECT l_orderkey, l_suppkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_partkey, l_linenumber) AS r FROM lineitem) WHERE r = 1""",
+    "text_functions": r"""SELECT p_partkey, ' ' || rtrim(p_name, ' ') AS right_trimmed, p_name AS trimmed, '?' || p_name AS blank_trimmed, regexp_replace(p_type, '(?i)an', '$1', 'g') AS replaced,
+  lower(hex(encode(p_name))) AS hex, base64(encode(p_name)) AS base64, p_name AS decoded, '```' || p_name || '``' || p_size || '```' AS code,
+  CASE p_size % 3 WHEN 0 THEN 'image/gif' WHEN 1 THEN 'image/bmp' ELSE 'application/octet-stream' END AS media,
+  CASE right(p_brand, 1) WHEN '0' THEN 'italic' WHEN '4' THEN 'xph' ELSE 'hp' || right(p_brand, 1) END AS font, CASE WHEN p_size BETWEEN 1 AND 9 THEN p_size - 1 ELSE 0 END AS depth,
+  p_name || '\_\*\[' || p_size || '\]' AS markdown, length(CAST(p_size AS VARCHAR)) <= 3 AS item FROM part""".replace("\\\\", "\\"),
+    "url_codecs": """WITH w AS (SELECT page_id, url, regexp_replace(regexp_extract(html, 'href="([^"]*)"', 1), '^/', '') AS w FROM pages)
+SELECT page_id, 'quire://shelf/' || page_id || '/' || url_encode(w) AS uri, page_id || '|' || w AS parts, sha1(strlen(url) || ':' || url || strlen(CAST(page_id AS VARCHAR)) || ':' || page_id) AS identity FROM w""",
+    "find_in_text": f"""WITH s AS (SELECT doc_id, string_split({LOW.format("text")}, 'the') AS p FROM documents)
+SELECT doc_id, CAST(len(p) - 1 AS INTEGER) AS n, array_to_string([CAST(list_sum([length(x) FOR x IN p[1:i]]) + 3 * (i - 1) + 1 AS BIGINT) FOR i IN range(1, len(p))], ',') AS places FROM s WHERE len(p) > 1""",
+    "kind_counts": """SELECT user_id, string_agg(event_type || ':' || n, ' ' ORDER BY event_type) AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1""",
+    "detail_counts": """SELECT n_nationkey AS book_id, n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n_topics,
+  (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_toc, (SELECT count(*) FROM nation r WHERE r.n_regionkey = nation.n_nationkey) AS n_resources FROM nation""",
+    "resource_links": """WITH o AS (SELECT page_id, CAST(generate_subscripts(h, 1) AS INTEGER) AS ord, unnest(h) AS target FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages))
+SELECT page_id, ord, target, CASE WHEN target IN (SELECT target FROM o WHERE ord = 1) THEN 'object/' || target ELSE target END AS url FROM o""",
+    "menus_valid": """WITH i AS (SELECT l_linestatus AS book, l_orderkey AS menu, l_partkey AS t FROM lineitem), k AS (SELECT DISTINCT o_orderstatus AS book, o_custkey AS t, true AS known FROM orders),
+j AS (SELECT i.*, coalesce(known, false) AS fine FROM i LEFT JOIN k USING (book, t)) SELECT book, menu, 'p' || t AS target FROM (SELECT *, bool_and(fine) OVER (PARTITION BY book, menu) AS a FROM j) WHERE a""",
+    "point_lookup": "SELECT n_nationkey, n_name FROM nation WHERE n_name IN ('FRANCE', 'GERMANY')",
+    "whole_threads": "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS body FROM conversations WHERE text <> '' GROUP BY 1",
 }

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import grammar as G
 from quire.functions import html
 from quire.functions import text as T
-from quire.operators import catalog, diff, intervals, links, multiset, search, shelf
+from quire.operators import catalog, diff, intervals, links, multiset, render, search, shelf, structure
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -289,3 +290,123 @@ def q_html_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_page_body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").select("page_id", html.body_text("html").alias("body"))
+
+
+def q_control_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a record, known as controls or not, with their operands and a heading's depth."""
+    li = _t(spark, sf_dir, "lineitem")
+    n, key = F.col("l_linenumber"), F.col("l_orderkey").cast("string")
+    word = F.when(n == 1, F.concat(F.lit("SH"), key)).when(n == 2, F.concat(F.lit("SrTbl"), key)).when(n == 3, "cPARENT.").when(n == 4, F.concat(F.lit("sr"), key)).when(n == 5, "CSELECT").when(n == 6, F.concat(F.lit("SR,"), key)).otherwise("Consequently")
+    out = li.select(G.control_kind(word).alias("kind"), T.heading_depth(F.concat(F.lit(":h"), n)).alias("depth"))
+    return out.groupBy("kind", "depth").agg(F.count(F.lit(1)).alias("n")).withColumn("operands", G.operand_count("kind"))
+
+
+def q_selector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of suppliers' selectors: every kind, some without a document, with an open bracket or too few alternatives."""
+    s = _t(spark, sf_dir, "supplier")
+    kinds = F.array(*(F.lit(k) for k in ("BOOK", "hdr", "Spt", "fig", "TBL", "Figure", "internet", "image", "menu")))
+    b = lambda x: F.concat(F.lit("<"), x, F.lit(">"))
+    document = F.when(F.col("s_nationkey") == 0, F.lit("")).otherwise(F.concat(F.lit("/D"), F.col("s_nationkey")))
+    six = F.array(b(F.get(kinds, F.pmod(F.col("s_suppkey"), F.lit(9)).cast("int"))), b(F.col("s_name")), F.lit("<>"), b(document), F.lit("<00>"), F.when(F.col("s_acctbal") < 0, F.lit("<x")).otherwise("<x>"))
+    link = G.selector_link(F.when(F.col("s_nationkey") == 1, F.slice(six, 1, 5)).otherwise(six))
+    return s.select("s_suppkey", link.alias("l")).select("s_suppkey", "l.kind", "l.destination", "l.image", "l.error")
+
+
+def q_structure_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the structure of their lines and by what their text selects."""
+    docs = _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", "lang", "text")
+    rows = multiset.lines(docs, "doc_id").withColumnRenamed("line", "text")
+    marks = {"select": "@", "table_start": " | ", "message_start": "!!", "heading_level": ":"}
+    each = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(m)), F.lit(k)) for k, m in marks.items())))
+    segments = docs.select("doc_id", F.posexplode(each).alias("ord", "kind"), F.concat(F.lit(":"), F.col("lang")).alias("o")).select(
+        "doc_id", "ord", "kind", F.lit("x").alias("opcode"), F.array("o").alias("operands"), F.lit(False).alias("image")
+    )
+    counts = structure.structure_counts(segments, rows, ["doc_id"])
+    known = structure.classified(counts.withColumn("topic_id", F.col("doc_id").cast("string")), "topic_id")
+    return known.groupBy("signature", "class", "heading").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.sum("lists").alias("list_rows"))
+
+
+def q_form_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as a form: purchases open rows, clicks go on, views are borders."""
+    e = _t(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "purchase", "row_start").when(F.col("event_type") == "click", "continuation").when(F.col("event_type") == "view", "border").otherwise("spacer")
+    rows = e.select("user_id", "event_id", kind.alias("kind"), F.col("event_id").cast("string").alias("a"), F.when(F.col("event_type") == "click", F.col("event_type")).alias("b"))
+    return structure.form_rows(rows, ["user_id"], "event_id", ["a", "b"])
+
+
+def q_numbered_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    least = [F.min(c).alias(c) for c in ("l_linestatus", "l_returnflag", "l_suppkey")]  # a number may come twice
+    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*least)
+    steps = structure.numbered_steps(li, ["l_orderkey"], "l_linenumber", "l_linenumber", "l_linestatus", F.col("l_returnflag") == "R", F.col("l_suppkey") > 5)
+    return steps.select("l_orderkey", "l_linenumber")
+
+
+def q_declared_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "customer")
+    opcode = F.when(F.col("c_mktsegment") == "BUILDING", "CRevDesc").otherwise(F.col("c_mktsegment"))
+    lines = c.select("c_nationkey", F.array(F.lit(" "), opcode, F.element_at(F.split("c_name", ""), -1)).alias("words"))
+    return structure.declared_characters(lines, ["c_nationkey"]).withColumn("characters", F.array_join("characters", ""))
+
+
+def q_earliest_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")
+    return structure.earliest_slices(li, ["l_orderkey"], ["l_suppkey", "l_partkey", "l_linenumber"])
+
+
+def q_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    n, size = F.col("p_name"), F.col("p_size").cast("string")
+    return part.select(
+        "p_partkey", T.trim_right_spaces(F.concat(F.lit(" "), n, F.lit("  "))).alias("right_trimmed"), T.trim_ascii(F.concat(F.lit("? \t"), n, F.lit("?\n"))).alias("trimmed"),
+        T.trim_ascii_whitespace(F.concat(F.lit("\t ?"), n, F.lit(" "))).alias("blank_trimmed"), T.replace_ci("p_type", "an", "$1").alias("replaced"), T.bytes_to_hex(F.encode(n, "UTF-8")).alias("hex"),
+        F.base64(F.encode(n, "UTF-8")).alias("base64"), F.decode(G.base64_decoded(F.base64(F.encode(n, "UTF-8"))), "UTF-8").alias("decoded"), T.code_span(F.concat(n, F.lit("``"), size)).alias("code"),
+        T.media_type(F.when(F.col("p_size") % 3 == 0, "GIF").when(F.col("p_size") % 3 == 1, "bmp").otherwise("gdf")).alias("media"), G.font_style(F.substring(F.col("p_brand"), -1, 1)).alias("font"),
+        T.heading_depth(F.concat(F.lit(":H"), size)).alias("depth"), T.markdown_escape(F.concat(n, F.lit("_*["), size, F.lit("]"))).alias("markdown"), G.list_item_row(F.concat(size, F.lit(". "), n)).alias("item"),
+    )
+
+
+def q_url_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _t(spark, sf_dir, "pages")
+    word = F.regexp_replace(F.element_at(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1), 1), "^/", "")
+    uri = G.resource_uri("quire", F.col("page_id").cast("string"), word)
+    return pages.select("page_id", uri.alias("uri"), F.array_join(G.resource_parts(uri, "quire"), "|").alias("parts"), G.cache_key(F.col("url"), F.col("page_id")).alias("identity"))
+
+
+def q_find_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _t(spark, sf_dir, "documents").select("doc_id", G.occurrences("text", "The").alias("at")).where("size(at) > 0")
+    return found.select("doc_id", F.size("at").alias("n"), F.array_join("at", ",").alias("places"))
+
+
+def q_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return multiset.joined(counts, "user_id", "event_type")
+
+
+def q_detail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("book_id"), "n_name")
+    customers, suppliers = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("book_id")), _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("book_id"))
+    nations = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("book_id"))
+    return catalog.detail_counts(books, customers, suppliers, nations)
+
+
+def q_resource_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = links.extracted(_t(spark, sf_dir, "pages"), "page_id").select(F.lit("b").alias("book_id"), "page_id", "ord", F.col("href").alias("target"))
+    return links.resources_resolved(own, own.where("ord = 1").select("book_id", F.col("target").alias("resource_id")), ["book_id"]).drop("book_id")
+
+
+def q_menus_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as menus: their items are parts, which the catalog of their status has if a customer of that number ordered."""
+    items = _t(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("book"), F.col("l_orderkey").alias("menu"), F.concat(F.lit("p"), F.col("l_partkey")).alias("target"))
+    known = _t(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("book"), F.concat(F.lit("P"), F.col("o_custkey")).alias("folded_id"))
+    return links.menus_valid(items, known, ["menu"], ["book"])
+
+
+def q_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _t(spark, sf_dir, "nation")
+    return search.lookup(n, "n_name", "fRANCE", any_case=True).unionByName(search.lookup(n, "n_name", "GERMANY")).select("n_nationkey", "n_name")
+
+
+def q_whole_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as one text: its turns in order, a blank line between them."""
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("body"))
+    return render.book(turns, ["conv_id"], "turn")
