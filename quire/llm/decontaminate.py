@@ -4,8 +4,10 @@ Each chunk of training documents is a shard.  Its words become numbers (a word
 that no benchmark item holds becomes 0, which also ends each document), and the
 shard's suffix array lists, in order, the suffixes that can match: those whose
 first words begin some test suffix.  Every test suffix is then binary-searched
-in every shard: the run of training suffixes that share its first `window` words
-gives the places to remove, and its neighbours give its longest verbatim match.
+in every shard (equal windows once): the run of training suffixes that share its
+first `window` words are places of verbatim matches, each of which is followed,
+from where it begins, as far as it goes.  These longest matches are what a document
+is removed for: their words are hit, their items found, and the longest is reported.
 
 The benchmark is broadcast in blocks of bounded bytes; a benchmark of any size
 works, with one pass over the documents for each block.
@@ -30,6 +32,8 @@ FOLD = bytes(
 BLOCK_BYTES = 8 << 20
 #: A longest match is followed for so many words past the window at a time.
 STRIDE = 64
+#: Places whose matches are followed at once; bounds memory.
+AT_ONCE = 1 << 14
 
 
 def words(text: bytes) -> list[bytes]:
@@ -47,15 +51,13 @@ class Benchmark:
         ]
         short = [len(x) for x in self.items if 0 < len(x) < window]
         self.depth = min([window, 3, *short])  # words of a test suffix that a training suffix must begin with
-        by_length: dict[int, dict[bytes, list[int]]] = {}
+        by_length: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
         for k, x in enumerate(self.items):
             n = min(window, len(x))
             for i in range(len(x) - n + 1) if n else ():
-                by_length.setdefault(n, {}).setdefault(x[i : i + n].astype(">u4").tobytes(), []).append(k)
-        self.windows = [
-            (n, np.array(list(found), f"S{4 * n}"), [np.array(sorted(set(v))) for v in found.values()])
-            for n, found in sorted(by_length.items())
-        ]
+                by_length.setdefault(n, {}).setdefault(x[i : i + n].astype(">u4").tobytes(), []).append((k, i))
+        #: Words in a window, the different windows, and the test suffixes (item, position) that begin with each.
+        self.windows = [(n, np.array(list(found), f"S{4 * n}"), list(found.values())) for n, found in sorted(by_length.items())]
         starts = [w.view("S1").reshape(len(w), -1)[:, : 4 * self.depth] for _, w, _ in self.windows]
         heads = np.concatenate([np.ascontiguousarray(s).view(f"S{4 * self.depth}").ravel() for s in starts]) if starts else np.array([], "S4")
         self.heads = np.unique(self._code([np.frombuffer(heads.tobytes(), ">u4").reshape(-1, self.depth)[:, d] for d in range(self.depth)])) if len(heads) else np.array([], np.uint64)
@@ -99,15 +101,41 @@ class Shard:
         return np.searchsorted(self.starts, at, side="right") - 1
 
     def occurrences(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
-        """(words in the window, low, high, items of each window): each window's run in the suffix array."""
-        for n, windows, items in self.bench.windows:
+        """(words in the window, low, high, test suffixes of each window): each window's run in the suffix array."""
+        for n, windows, suffixes in self.bench.windows:
             low = np.searchsorted(self.keys, windows, side="left")
             top = np.frombuffer(
                 b"".join(w.ljust(4 * n, b"\0") + b"\xff" * (4 * (self.bench.window - n)) for w in windows.tolist()),
                 f"S{4 * self.bench.window}",
             )
             high = np.searchsorted(self.keys, top, side="right")
-            yield n, low, high, items
+            yield n, low, high, suffixes
+
+    def matches(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(item, places, words): the verbatim matches of a window or more that cannot be made longer at either end."""
+        for n, low, high, suffixes in self.occurrences():
+            for w in np.nonzero(high > low)[0].tolist():
+                places = self.suffixes[low[w] : high[w]]
+                before = np.where(places > 0, self.words[places - 1], 0)
+                for k, i in suffixes[w]:
+                    item = self.bench.items[k]
+                    # A match that the words before prolong was followed from there.
+                    begins = places if i == 0 else places[before != item[i - 1]]
+                    for lo in range(0, len(begins), AT_ONCE):
+                        at = begins[lo : lo + AT_ONCE]
+                        yield k, at, self._length(item[i:], at, n)
+
+    def _length(self, item: np.ndarray, at: np.ndarray, known: int) -> np.ndarray:
+        """How many words of `item` stand at each place, of which the first are known."""
+        size = np.full(len(at), known, np.int64)
+        going, end = np.arange(len(at)), len(self.words) - 1
+        while len(going) and known < len(item):
+            step = min(STRIDE, len(item) - known)
+            took = self.words[np.minimum(at[going, None] + known + np.arange(step)[None, :], end)]
+            same = np.cumprod(took == item[None, known : known + step], axis=1).sum(1)
+            size[going] += same
+            going, known = going[same == step], known + step
+        return size
 
     def longest(self) -> Iterator[tuple[int, int, int, int]]:
         """(item, position, words, place) of each test suffix's longest verbatim match of a window or more."""
@@ -150,7 +178,7 @@ def _id_of(benchmark: DataFrame) -> str:
 
 
 def _hits(docs: DataFrame, rows: list[tuple], window: int) -> DataFrame:
-    """doc_id, n_words, hit (word ranges [begin, end) as a flat array), items: of one block."""
+    """doc_id, n_words, hit (word ranges [begin, end) as a flat array), items, best (the longest match: minus its words, its place, its item): of one block."""
     held = docs.sparkSession.sparkContext.broadcast((rows, window))
 
     def make():
@@ -159,29 +187,33 @@ def _hits(docs: DataFrame, rows: list[tuple], window: int) -> DataFrame:
         def step(ids, blobs):
             shard = Shard(blobs, bench)
             edge = np.zeros(len(shard.words) + 1, np.int64)
-            pairs = []
-            for n, low, high, items in shard.occurrences():
-                for w in np.nonzero(high > low)[0]:
-                    at = shard.suffixes[low[w] : high[w]]
-                    edge[at] += 1
-                    edge[at + n] -= 1
-                    d = np.unique(shard.doc_of(at))
-                    pairs.append(np.stack([np.repeat(d, len(items[w])), np.tile(items[w], len(d))]))
+            found = [(k, at, size) for k, at, size in shard.matches()]
+            which = np.concatenate([np.full(len(at), k) for k, at, _ in found]) if found else np.array([], np.int64)
+            at, size = (np.concatenate([x[c] for x in found]) if found else np.array([], np.int64) for c in (1, 2))
+            np.add.at(edge, at, 1)
+            np.subtract.at(edge, at + size, 1)
             hit = np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8), [0]]))
             begins, ends = np.nonzero(hit == 1)[0], np.nonzero(hit == -1)[0]
-            out = {"doc_id": ids, "n_words": shard.counts, "hit": [[] for _ in ids], "items": [[] for _ in ids]}
+            out = {"doc_id": ids, "n_words": shard.counts, "hit": [[] for _ in ids], "items": [[] for _ in ids], "best": [None] * len(ids)}
             out["text_key"] = [hashlib.blake2b(t, digest_size=16).digest() for t in blobs]
             for d, b, e in zip(shard.doc_of(begins).tolist(), begins.tolist(), ends.tolist(), strict=True):
                 s = int(shard.starts[d])
                 out["hit"][d] += [b - s, e - s]
-            if pairs:
-                for d, k in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist():
+            if len(at):
+                owner = shard.doc_of(at)
+                pairs, longest = np.unique(np.stack([owner, which]), axis=1), np.lexsort((at, -size, owner))
+                for d, k in pairs.T.tolist():
                     out["items"][d].append(bench.ids[k])
+                firsts = longest[np.unique(owner[longest], return_index=True)[1]]
+                for d, p, n in zip(owner[firsts].tolist(), at[firsts].tolist(), size[firsts].tolist(), strict=True):
+                    same = which[(at == p) & (size == n)]
+                    named = [x for x in (bench.ids[k] for k in same.tolist()) if x is not None]
+                    out["best"][d] = {"less": -n, "at": p - int(shard.starts[d]), "item": min(named, default=None)}
             return out
 
         return step
 
-    return map_chunks(docs, "doc_id long, n_words long, hit array<int>, items array<long>, text_key binary", make)
+    return map_chunks(docs, "doc_id long, n_words long, hit array<int>, items array<long>, best struct<less:int,at:int,item:long>, text_key binary", make)
 
 
 def _merge(arrays: list[list[int]]) -> int:
@@ -203,11 +235,13 @@ def scan(
     text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_at, longest_item.
 
     A window is `window` consecutive words of an item, or all words of a shorter
     one.  n_hit: document words inside an occurrence of any window; n_items: items
-    with such an occurrence; contaminated: `least_items` of them or more.
+    with such an occurrence; contaminated: `least_items` of them or more; longest:
+    words of the longest verbatim match of a window or more (0 without any), the
+    place of its first word (from 0; of several, the first) and its item (the least).
 
     A null or empty text, or one without words, has n_words 0 and no items; an
     item without words matches nothing; item rows that repeat count once; items
@@ -229,9 +263,10 @@ def scan(
             F.max("n_words").alias("n_words"),
             F.flatten(F.collect_set("hit")).alias("hit"),
             F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+            F.min("best").alias("best"),
             F.sum(F.when(F.col("block") == 0, 1).otherwise(0)).alias("copies"),
         )
-        .select("doc_id", "n_words", "hit", "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        .select("doc_id", "n_words", "hit", "items", "best", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
         .drop("col")
     )
     return _report(merged, least_items)
@@ -243,7 +278,7 @@ def _report(hits: DataFrame, least_items: int) -> DataFrame:
 
         settle(None)
         for b in batches:
-            ids, n, hit, items = (b.column(k).to_pylist() for k in range(4))
+            ids, n, hit, items, best = (b.column(k).to_pylist() for k in range(5))
             items = [set(x) for x in items]
             names = [sorted(str(k) for k in x if k is not None) for x in items]
             yield pa.RecordBatch.from_pydict(
@@ -254,10 +289,13 @@ def _report(hits: DataFrame, least_items: int) -> DataFrame:
                     "n_items": pa.array(map(len, items), pa.int64()),
                     "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
                     "contaminated": pa.array([len(x) >= least_items for x in items], pa.bool_()),
+                    "longest": pa.array([-x["less"] if x else 0 for x in best], pa.int32()),
+                    "longest_at": pa.array([x and x["at"] for x in best], pa.int32()),
+                    "longest_item": pa.array([x and x["item"] for x in best], pa.int64()),
                 }
             )
 
-    return hits.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return hits.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest int, longest_at int, longest_item long")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,10 +352,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8,
             def keep(blobs):
                 shard = Shard(blobs, bench)
                 found: list[set] = [set() for _ in blobs]
-                for _, low, high, items in shard.occurrences():
-                    for w in np.nonzero(high > low)[0]:
-                        for d in np.unique(shard.doc_of(shard.suffixes[low[w] : high[w]])).tolist():
-                            found[d].update(bench.ids[k] for k in items[w].tolist())
+                for k, at, _ in shard.matches():
+                    for d in np.unique(shard.doc_of(at)).tolist():
+                        found[d].add(bench.ids[k])
                 return [len(x) < least_items for x in found]
 
             return keep

@@ -27,18 +27,23 @@ _FOLDED = (
 )
 
 OP4 = f"""
-WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents), b AS (SELECT item_id, {_FOLDED} AS w FROM benchmark),
-bi AS (SELECT item_id, w, least(len(w), 8) AS n, unnest(range(1, len(w) - least(len(w), 8) + 2)) AS i FROM b WHERE len(w) > 0),
-bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM bi),
+WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents), b AS (SELECT item_id, row_number() OVER () AS r, {_FOLDED} AS w FROM benchmark),
+bi AS (SELECT r, item_id, w, least(len(w), 8) AS n, unnest(range(1, len(w) - least(len(w), 8) + 2)) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT r, item_id, n, i AS j, array_to_string(w[i:i + n - 1], ' ') AS k FROM bi),
 di AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw)),
 dk AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM di),
-m AS (SELECT DISTINCT doc_id, i, n, item_id FROM dk JOIN bw USING (n, k)),
+p AS MATERIALIZED (SELECT DISTINCT doc_id, i, n, r, j, item_id FROM dk JOIN bw USING (n, k)),
+m AS (SELECT DISTINCT doc_id, i, n, item_id FROM p),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY 1),
 x AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS l
-      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY 1)
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY 1),
+g AS (SELECT *, i - j AS g, i - row_number() OVER (PARTITION BY doc_id, r, i - j ORDER BY i) AS e FROM p),
+v AS (SELECT doc_id, item_id, min(i) AS place, max(i) - min(i) + n AS size FROM g GROUP BY doc_id, item_id, r, n, g, e),
+y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, place, item_id NULLS LAST) AS o FROM v) WHERE o = 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated,
+       CAST(coalesce(size, 0) AS INTEGER) AS longest, CAST(place - 1 AS INTEGER) AS longest_at, y.item_id AS longest_item
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
 """
 
 OP5 = r"""
