@@ -32,11 +32,7 @@ def punctuation(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def characters(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Letters and digits, case-sensitive."""
-    return multiset(df, key, _letters(text), "ch")
-
-
-def _letters(text: str) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.col(text), "[^\\p{L}\\p{N}]+", ""), ""), lambda c: c != "")
+    return _counted_letters(df, key, text).groupBy(key, "ch").agg(F.sum("n").alias("n"))
 
 
 def joined(counts: DataFrame, key: str, item: str) -> DataFrame:
@@ -64,7 +60,16 @@ def occurrences(df: DataFrame, key: str, items: Column, name: str) -> DataFrame:
 
 def character_delta(before: DataFrame, after: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, ch, lost, gained) of each letter or digit of which two versions of a text have different numbers."""
-    return delta(*(occurrences(df, key, _letters(text), "ch") for df in (before, after)), [key, "ch"])
+    return delta(*(_counted_letters(df, key, text) for df in (before, after)), [key, "ch"])
+
+
+def _counted_letters(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, ch, n): a row a text and different letter or digit, counted in the text before any row is made."""
+    clean = df.select(key, F.regexp_replace(F.col(text), "[^\\p{L}\\p{N}]+", "").alias("__clean"))
+    each = F.array_distinct(F.filter(F.split("__clean", ""), lambda c: c != ""))
+    size = F.length("__clean")
+    counts = F.transform(each, lambda c: F.struct(c.alias("ch"), (size - F.length(F.replace(F.col("__clean"), c, F.lit("")))).cast("long").alias("n")))
+    return clean.select(key, F.explode(counts).alias("x")).select(key, "x.*")
 
 
 def drawn_words(df: DataFrame, key: str, text: str = "text") -> DataFrame:

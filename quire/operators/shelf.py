@@ -22,7 +22,8 @@ def listing(spark: SparkSession, path: str, recursive: bool = False, suffix: str
 
 def ordered(df: DataFrame, shelf: list[str], title: str, name: str) -> DataFrame:
     """Rows with their place on their shelf (from 1): by title without ASCII case, then by name; a shelf is never sorted in one task."""
-    return intervals.placed(df, shelf, [T.ascii_lower(title), F.col(name)], "place")
+    folded = df.withColumn("__folded", T.ascii_lower(title))  # a column: an expression would be worked out at each comparison
+    return intervals.placed(folded, shelf, [F.col("__folded"), F.col(name)], "place").drop("__folded")
 
 
 def refresh(current: DataFrame, memory: DataFrame, disk: DataFrame, key: str, stamp: str, value: str) -> DataFrame:
