@@ -238,3 +238,10 @@ def not_modified(if_none_match: Column | str, identity: Column | str) -> Column:
     """Whether a conditional request's weak tags hold that of an identity."""
     tags = F.transform(F.split(_c(if_none_match), ","), lambda t: F.regexp_replace(F.trim(t), "^W/", ""))
     return F.coalesce((F.trim(_c(if_none_match)) == "*") | F.array_contains(tags, F.concat(F.lit('"'), _c(identity), F.lit('"'))), F.lit(False))
+
+
+def identified_heading(topic_id: Column | str, title: Column | str, plain: Column | None = None) -> Column:
+    """A heading with its topic's id in front, unless there is none or a plain title spells it, ignoring ASCII case; the id alone without a title."""
+    i, t = F.coalesce(_c(topic_id), F.lit("")), F.coalesce(_c(title), F.lit(""))
+    spelled = (F.lit(True) if plain is None else plain) & T.equals_ci(T.trim_ascii(t), i)
+    return F.when((i == "") | spelled, t).when(t == "", i).otherwise(F.concat(i, F.lit(" "), t))

@@ -99,3 +99,20 @@ def with_named_destinations(targets: DataFrame, named: DataFrame, topic: list[st
 def sampled(df: DataFrame, name: str, n: int, seed: int) -> DataFrame:
     """n rows that hash lowest: the same ones on every run, however the rows are dealt.  Sampling is the feature here."""
     return df.orderBy(F.xxhash64(F.lit(seed), name), name).limit(n)
+
+
+def carried_selection(segments: DataFrame, part: list[str], record: str, order: str) -> DataFrame:
+    """(part..., record, carried): whether the record just before ends with a selection whose line is still to come.
+
+    Empty font controls at a record's end are passed over.  Records meet by number, so no part is sorted in one task.
+    """
+    passed = F.coalesce((F.col("kind") == "font") & (F.col("payload") == ""), F.lit(False))
+    last = F.max_by(F.struct("kind", "payload"), F.when(~passed, F.col(order)))
+    ends = segments.groupBy(*part, record).agg(last.alias("__last"))
+    open_ = ends.where("__last.kind = 'select' and __last.payload = ''").select(*part, (F.col(record) + 1).alias(record), F.lit(True).alias("carried"))
+    return ends.select(*part, record).join(open_, [*part, record], "left").na.fill(False, ["carried"])
+
+
+def drawn_cells(cells: DataFrame, controls: DataFrame, key: list[str]) -> DataFrame:
+    """Cells that no proven control owns; controls: (key..., proven)."""
+    return cells.join(controls.where("proven").select(*key).distinct(), key, "left_anti")

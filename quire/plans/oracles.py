@@ -66,6 +66,7 @@ _CLEAN = (
     "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\\[([^\\]]+)\\]\\([^)]*\\)', '\\1', 'g'), "
     "'\\\\([[:punct:]])', '\\1', 'g'), '[`*_#>]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 )
+_CAP = "array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(p_name, ' ')], ' ')"
 _STEM = "regexp_replace(regexp_replace(" + LOW + ", '[^0-9a-z]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 SQL = {
@@ -221,4 +222,44 @@ SELECT page_id, ord, target, CASE WHEN target IN (SELECT target FROM o WHERE ord
 j AS (SELECT i.*, coalesce(known, false) AS fine FROM i LEFT JOIN k USING (book, t)) SELECT book, menu, 'p' || t AS target FROM (SELECT *, bool_and(fine) OVER (PARTITION BY book, menu) AS a FROM j) WHERE a""",
     "point_lookup": "SELECT n_nationkey, n_name FROM nation WHERE n_name IN ('FRANCE', 'GERMANY')",
     "whole_threads": "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS body FROM conversations WHERE text <> '' GROUP BY 1",
+    "control_values": f"""SELECT p_partkey, {UP.format("p_name")} AS number, {_CAP} AS title, '(c) IBM ' || p_brand AS copyright, {_CAP} || '-X' AS date FROM part""",
+    "code_words": """WITH c AS (SELECT p_partkey, [p_size + 64, p_size + 160, p_size + 208] AS c FROM part)
+SELECT p_partkey, array_to_string([CASE WHEN w <= 126 OR w BETWEEN 161 AND 255 THEN chr(w) WHEN w = 160 THEN ' ' ELSE '?' END FOR w IN c], '') AS text,
+  array_to_string([CASE WHEN w BETWEEN 97 AND 122 OR (w BETWEEN 224 AND 254 AND w <> 247) THEN w - 32 WHEN w = 223 THEN 83 ELSE w END FOR w IN c], ',') AS "upper",
+  array_to_string([CASE WHEN w BETWEEN 65 AND 90 OR (w BETWEEN 192 AND 222 AND w <> 215) THEN w + 32 ELSE w END FOR w IN c], ',') AS "lower" FROM c""",
+    "header_records": """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'O' || o_orderkey END AS topic_id, CASE WHEN o_orderstatus <> 'F' THEN CAST(o_orderkey AS INTEGER) END AS topic_no,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN '' ELSE 'C' || o_custkey END AS parent, true AS contents FROM orders""",
+    "contents_lines": """SELECT c_custkey, c_nationkey AS nesting, 2 AS style, 'SEC' || c_custkey AS id, c_name AS title FROM customer
+UNION ALL SELECT c_custkey, 7, c_nationkey, 'END', c_mktsegment FROM customer""",
+    "font_spans": """SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS INTEGER) AS "column", CAST(l_linenumber - 1 AS INTEGER) AS length, 'B' AS code FROM lineitem WHERE l_linenumber BETWEEN 2 AND 6
+UNION ALL SELECT l_orderkey, l_linenumber, CAST(l_linenumber * 10 AS INTEGER), 3, l_returnflag FROM lineitem WHERE l_linenumber BETWEEN 2 AND 6""",
+    "report_fields": r"""SELECT doc_id, sha256(replace(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(13), '\r'), chr(10), '\n')) AS escaped, text = text AS same,
+  text IS NOT NULL AND NOT contains(regexp_replace(text, '\\[\\trn]', '', 'g'), '\') AS readable FROM documents""",
+    "short_hashes": "SELECT p_partkey, substr(sha256(CAST(to_json([p_name, p_brand, CAST(p_size AS VARCHAR)]) AS VARCHAR)), 1, 16) AS hash FROM part",
+    "request_parameters": """SELECT event_id, CASE WHEN fine THEN event_type END AS type, CASE WHEN fine THEN CAST(user_id AS VARCHAR) END AS user, CASE WHEN fine THEN 'a=b' END AS v
+FROM (SELECT *, event_type NOT IN ('error', 'purchase') AS fine FROM events)""",
+    "conditional_requests": "SELECT page_id, page_id % 4 <> 3 AS fresh FROM pages",
+    "catalog_faults": f"SELECT {UP.format('p_name')} AS folded_id, 'duplicate id' AS fault FROM part GROUP BY 1 HAVING count(*) > 1",
+    "whole_contents": """SELECT l_orderkey, l_partkey, depth FROM (SELECT l_orderkey, l_partkey, l_linenumber AS depth, bool_or(l_returnflag = 'R') OVER (PARTITION BY l_orderkey) AS declined FROM lineitem) WHERE NOT declined""",
+    "first_headers": "SELECT o_orderstatus, o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2",
+    "cell_owners": """SELECT l_partkey, l_suppkey, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN any_value(l_linestatus) END AS l_linestatus, count(*) AS n_claims, count(DISTINCT l_linestatus) > 1 AS conflict FROM lineitem GROUP BY 1, 2""",
+    "unaccounted_tokens": "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) GROUP BY 1",
+    "figure_anchors": """SELECT user_id, CAST(event_id AS VARCHAR) AS anchor, CAST(e AS VARCHAR) AS resource FROM (SELECT *, lead(event_id) OVER w AS e, lead(event_type) OVER w AS t
+  FROM events WHERE event_type <> 'view' WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE event_type = 'click' AND t = 'purchase'""",
+    "page_runs": """SELECT o_custkey AS book_id, CAST(run AS BIGINT) AS run, o_orderstatus AS page_class, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS n FROM (
+  SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS run FROM (
+    SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) IS DISTINCT FROM o_orderstatus AS fresh FROM orders)) GROUP BY 1, run, o_orderstatus""",
+    "big_endian": """WITH c AS (SELECT p_partkey, [CAST(ascii(substr(p_name, i, 1)) AS BIGINT) FOR i IN range(1, 5)] AS b FROM part)
+SELECT p_partkey, b[1] * 256 + b[2] AS head, b[2] * 65536 + b[3] * 256 + b[4] AS "inner", CAST(NULL AS BIGINT) AS beyond FROM c""",
+    "control_segments": """SELECT c_custkey, 'text' AS kind, NULL AS opcode, '' AS operands, 'note' AS payload FROM customer
+UNION ALL SELECT c_custkey, 'topic_number', 'CTOPICN', CAST(c_custkey AS VARCHAR), c_name FROM customer
+UNION ALL SELECT c_custkey, 'select', 'CSELECT', '1 CPARENT 3', c_mktsegment || ' x' FROM customer""",
+    "carried_selections": """WITH l AS (SELECT l_orderkey, l_linenumber, min(l_linestatus) AS s, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2)
+SELECT a.l_orderkey, a.l_linenumber, coalesce(b.s = 'O' AND b.f = 'R', false) AS carried FROM l a LEFT JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber + 1""",
+    "drawn_cells": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem ANTI JOIN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'R') USING (l_partkey, l_suppkey)""",
+    "topic_headings": """SELECT s_suppkey, CASE WHEN s_nationkey = 0 THEN s_name WHEN s_nationkey < 5 THEN ' ' || lower(s_name) || '?' WHEN s_nationkey = 24 THEN 'About ' || s_name ELSE s_name || ' About ' || s_name END AS heading FROM supplier""",
+    "line_texts": """SELECT p_partkey, p_name || ' ' || p_type || '?' AS asked, 2 AS n_asked, p_name || ' ' || p_name AS told, 0 AS n_told FROM part""",
+    "listing_titles": "SELECT p_partkey, CASE WHEN p_size < 10 THEN p_name ELSE p_brand END AS shown_title, CASE WHEN p_size < 10 THEN p_type ELSE '1.3' END AS shown_build FROM part",
+    "image_sizes": "SELECT p_partkey, CASE WHEN p_size >= 10 THEN p_size END AS width, CASE WHEN p_size >= 10 THEN 256 END AS height FROM part",
+    "json_validity": "SELECT event_id, json_valid(props) AS whole, json_valid(left(props, length(props) - 1)) AS cut FROM events",
 }

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import controls as C
 from quire.functions import grammar as G
 from quire.functions import html
 from quire.functions import text as T
-from quire.operators import catalog, diff, intervals, links, multiset, render, search, shelf, structure
+from quire.operators import catalog, diff, intervals, links, multiset, render, reports, search, sequences, shelf, structure
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -410,3 +411,164 @@ def q_whole_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as one text: its turns in order, a blank line between them."""
     turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("body"))
     return render.book(turns, ["conv_id"], "turn")
+
+
+def q_control_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names as values of a book's controls."""
+    value = lambda key, x: T.control_value(F.lit(key), x)
+    copyright_ = F.concat(F.lit("(c) ibm "), "p_brand")
+    return _t(spark, sf_dir, "part").select("p_partkey", value("CDOCNUM", "p_name").alias("number"), value("CTITLE", "p_name").alias("title"), value("CCOPYRIGHT", copyright_).alias("copyright"), value("CDATE", F.concat("p_name", F.lit("-x"))).alias("date"))
+
+
+def q_code_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code units of every range, as text and in both cases of the dictionary."""
+    codes = F.transform(F.array(F.lit(64), F.lit(160), F.lit(208)), lambda x: x + F.col("p_size"))
+    joined = lambda upper: F.array_join(F.transform(T.fold_words(codes, upper), lambda x: x.cast("string")), ",")
+    return _t(spark, sf_dir, "part").select("p_partkey", T.token_words_text(codes).alias("text"), joined(True).alias("upper"), joined(False).alias("lower"))
+
+
+def q_header_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records: those that are finished name no topic, urgent ones no parent."""
+    number = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.concat(F.lit(" CTOPICN "), "o_orderkey"))
+    parent = F.when(F.col("o_orderpriority") == "1-URGENT", "").otherwise(F.concat(F.lit("c"), "o_custkey", F.lit(" ")))
+    record = F.concat(F.lit("SHo"), "o_orderkey", number, F.lit(" CPARENT "), parent, F.lit("CHDLEVEL :toc"))
+    r = _t(spark, sf_dir, "orders").select("o_orderkey", record.alias("r"))
+    return r.select("o_orderkey", C.topic_id("r").alias("topic_id"), C.topic_number("r").alias("topic_no"), C.topic_parent("r").alias("parent"), T.contents_topic("r").alias("contents"))
+
+
+def q_contents_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents lines of a nested grammar, one of three malformed."""
+    record = F.concat(F.lit(" CTOCE "), "c_nationkey", F.lit(" 2 sec"), "c_custkey", F.lit(" "), "c_name", F.lit("?? CTOCE bad CTOCE 7 "), "c_nationkey", F.lit(" end "), "c_mktsegment")
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.inline(C.contents_entries(record, True)))
+
+
+def q_font_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Font controls' triples: a first line's has no length, a seventh line's last is incomplete."""
+    n = F.col("l_linenumber")
+    operands = F.concat_ws(" ", n, n - 1, F.lit("B"), n * 10, F.lit(3), F.when(n < 7, F.concat("l_returnflag", F.lit(","))))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.inline(C.font_triples(operands)))
+
+
+def q_report_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as a report's fields: escaped, read back, and whether they would be read as they are."""
+    escaped = T.tsv_escape("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(escaped, 256).alias("escaped"), (T.tsv_unescape(escaped) == F.col("text")).alias("same"), T.tsv_unescape("text").isNotNull().alias("readable"))
+
+
+def q_short_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", T.short_hash(F.array("p_name", "p_brand", F.col("p_size").cast("string"))).alias("hash"))
+
+
+def q_request_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as query strings: errors' give a name twice, purchases' a name without a value."""
+    kind = F.col("event_type")
+    query = F.concat(F.lit("type="), kind, F.lit("&user="), "user_id", F.when(kind == "error", "&type=x").when(kind == "purchase", "&flag").otherwise("&v=a=b"))
+    m = T.query_parameters(query)
+    return _t(spark, sf_dir, "events").select("event_id", *(F.try_element_at(m, F.lit(k)).alias(k) for k in ("type", "user", "v")))
+
+
+def q_conditional_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for pages, by their number: any version, this one, this among others, another."""
+    tag = F.concat(F.lit('W/"'), G.cache_key(F.col("url"), F.col("page_id")), F.lit('"'))
+    kind = F.pmod("page_id", F.lit(4))
+    header = F.when(kind == 0, "*").when(kind == 1, tag).when(kind == 2, F.concat(F.lit('"x", '), tag)).otherwise('"x"')
+    return _t(spark, sf_dir, "pages").select("page_id", G.not_modified(header, G.cache_key(F.col("url"), F.col("page_id"))).alias("fresh"))
+
+
+def q_catalog_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.catalog_faults(_t(spark, sf_dir, "part").select(F.col("p_name").alias("topic_id")))
+
+
+def q_whole_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as contents: a returned line has no depth, and declines its order."""
+    depth = F.when(F.col("l_returnflag") != "R", F.col("l_linenumber"))
+    return catalog.all_or_nothing(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", depth.alias("depth")), ["l_orderkey"], "depth")
+
+
+def q_first_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.first_of_id(_t(spark, sf_dir, "orders").select("o_orderstatus", "o_custkey", "o_orderkey"), ["o_orderstatus"], "o_custkey", "o_orderkey")
+
+
+def q_cell_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.ownership(_t(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], "l_linestatus")
+
+
+def q_unaccounted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with parts that are too small to have a role."""
+    roles = _t(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
+    return sequences.unaccounted(_t(spark, sf_dir, "lineitem"), roles, ["l_partkey"], ["l_orderkey"])
+
+
+def q_figure_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as blocks: clicks are anchors, views breaks, purchases figures."""
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    block = F.when(kind == "click", "anchor").when(kind == "view", "thematic_break").when(kind == "purchase", "figure").otherwise("paragraph")
+    blocks = _t(spark, sf_dir, "events").select("user_id", "event_id", block.alias("kind"), number.alias("anchor"), F.when(kind == "purchase", number).alias("resource"))
+    return links.figure_anchors(blocks, ["user_id"], "event_id")
+
+
+def q_page_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders")
+    return intervals.page_runs(orders.select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("page_no"), F.col("o_orderstatus").alias("page_class")))
+
+
+def q_big_endian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.encode("p_name", "UTF-8")
+    return _t(spark, sf_dir, "part").select("p_partkey", T.be_int(raw, 0, 2).alias("head"), T.be_int(raw, 1, 3).alias("inner"), T.be_int(raw, F.length(raw) - 1, 2).alias("beyond"))
+
+
+def q_control_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = F.concat(F.lit("note CTOPICN "), "c_custkey", F.lit("  "), "c_name", F.lit(" CSELECT 1 CPARENT 3 "), "c_mktsegment", F.lit(" x"))
+    out = _t(spark, sf_dir, "customer").select("c_custkey", F.inline(G.control_segments(record)))
+    return out.withColumn("operands", F.array_join("operands", " "))
+
+
+def q_carried_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' lines as records: what was returned selects, and its line is to come while it is open."""
+    least = [F.min(c).alias(c) for c in ("l_linestatus", "l_returnflag")]
+    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*least)
+    kind = F.when(F.col("l_returnflag") == "R", "select").when(F.col("l_returnflag") == "A", "font").otherwise("text")
+    segments = li.select("l_orderkey", "l_linenumber", F.lit(0).alias("ord"), kind.alias("kind"), F.when(F.col("l_linestatus") == "O", "").otherwise("x").alias("payload"))
+    return structure.carried_selection(segments, ["l_orderkey"], "l_linenumber", "ord")
+
+
+def q_drawn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = ["l_partkey", "l_suppkey"]
+    li = _t(spark, sf_dir, "lineitem")
+    controls = li.select(*key, ((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R")).alias("proven"))
+    return structure.drawn_cells(li.select("l_orderkey", "l_linenumber", *key), controls, key)
+
+
+def q_topic_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as topics: some without an id or a title, some whose title spells the id."""
+    s, nation = _t(spark, sf_dir, "supplier"), F.col("s_nationkey")
+    title = F.when(nation == 0, "").when(nation < 5, F.concat(F.lit(" "), F.lower("s_name"), F.lit("?"))).otherwise(F.concat(F.lit("About "), "s_name"))
+    return s.select("s_suppkey", G.identified_heading(F.when(nation == 24, "").otherwise(F.col("s_name")), title).alias("heading"))
+
+
+def q_line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded lines: separators and the question marks that are their own."""
+    part = _t(spark, sf_dir, "part")
+    asked, told = F.concat("p_name", F.lit("? "), "p_type", F.lit("?")), F.concat(F.lit("?"), "p_name", F.lit("? "), "p_name")
+    return part.select("p_partkey", G.dot_text(asked).alias("asked"), G.literal_question_marks(asked).alias("n_asked"), G.dot_text(told).alias("told"), G.literal_question_marks(told).alias("n_told"))
+
+
+def q_listing_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small = F.col("p_size") < 10
+    books = _t(spark, sf_dir, "part").select(
+        "p_partkey", F.when(small, "").otherwise(F.col("p_brand")).alias("short_title"), F.col("p_name").alias("title"), F.when(small, F.col("p_type")).alias("build"), F.lit("").alias("version"), F.lit("1.3").alias("directory_version")
+    )
+    return shelf.book_titles(books).select("p_partkey", "shown_title", "shown_build")
+
+
+def q_image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of GIF images, small parts' with another signature."""
+    head = F.when(F.col("p_size") < 10, "474946383861").otherwise("474946383961")
+    size = C.display_size(F.unhex(F.concat(head, F.lpad(F.hex("p_size"), 2, "0"), F.lit("000001"))))
+    return _t(spark, sf_dir, "part").select("p_partkey", size.alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+def q_json_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' properties as they are, and cut before their last character."""
+    cut = F.substring("props", F.lit(1), F.length("props") - 1)
+    return _t(spark, sf_dir, "events").select("event_id", reports.json_valid("props").alias("whole"), reports.json_valid(cut).alias("cut"))

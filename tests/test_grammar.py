@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import grammar as G
+from quire.functions import text as T
 from quire.operators import structure
 
 
@@ -130,3 +131,38 @@ def test_pictures_rows_steps_and_declarations(spark):
 def test_empty_tables(spark, n):
     e = spark.createDataFrame([(None, None, None, None)] * n, "p string, o int, kind string, l string")
     assert structure.form_rows(e, ["p"], "o", ["l"]).count() == 0
+
+
+def test_carried_selection(spark):
+    rows = [
+        ("b", 1, 0, "text", "x"), ("b", 1, 1, "select", ""), ("b", 1, 2, "font", ""),  # a trailing empty font is passed over
+        ("b", 2, 0, "select", "line"), ("b", 3, 0, "select", ""), ("b", 5, 0, "text", "x"),  # record 4 is not there
+        ("c", 1, 0, "font", ""), ("c", 2, 0, "text", None),
+    ]
+    df = spark.createDataFrame(rows, "book string, record long, ord int, kind string, payload string")
+    got = {(r["book"], r["record"]): r["carried"] for r in structure.carried_selection(df, ["book"], "record", "ord").collect()}
+    assert got == {("b", 1): False, ("b", 2): True, ("b", 3): False, ("b", 5): False, ("c", 1): False, ("c", 2): False}
+    assert structure.carried_selection(df.limit(0), ["book"], "record", "ord").count() == 0
+
+
+def test_drawn_cells(spark):
+    cells = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 2, "b"), (2, 1, None)], "record int, token int, word string")
+    controls = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 1, None)], "record int, token int, proven boolean")
+    left = sorted((r["record"], r["token"]) for r in structure.drawn_cells(cells, controls, ["record", "token"]).collect())
+    assert left == [(1, 2), (1, 2), (2, 1)]
+
+
+def test_identified_heading(spark):
+    rows = [("N1", "Notices", "N1 Notices"), ("NOTICES", " Notices?", " Notices?"), ("", "Title", "Title"), (None, None, ""), ("3.1", "", "3.1"), ("3.1", None, "3.1")]
+    df = spark.createDataFrame(rows, "i string, t string, want string").withColumn("got", G.identified_heading("i", "t"))
+    assert [r["got"] for r in df.collect()] == [r["want"] for r in df.collect()]
+    styled = spark.createDataFrame([("A", "a")], "i string, t string").select(G.identified_heading("i", "t", F.lit(False)).alias("h"))
+    assert styled.first()["h"] == "A a"
+
+
+def test_escaped_fields(spark):
+    texts = ["a\\b", "tab\there", "line\nend\r", "\\t", "", "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.tsv_escape("t").alias("e"), T.tsv_unescape(T.tsv_escape("t")).alias("back"))
+    for r in df.collect():
+        assert r["back"] == r["t"]
+        assert not any(c in r["e"] for c in "\t\r\n")
