@@ -36,16 +36,17 @@ class Forest:
         return True
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """node, component (the least node reachable) of each node of a link, from links (a, b) of longs.
 
     A hub's links are never gathered: each round takes a minimum, with partial
     sums before the shuffle, and joins it back, which Spark splits where a hub is
     hot.  Rounds grow with the logarithm of the longest path; each is written to
-    the shared folder, so lineage stays short.  Links with a null end, or from a
-    node to itself, tell nothing.
+    the shared folder, so lineage stays short, in files as its links need them, not
+    one for each part of a shuffle.  `rows` is about how many links there are, if
+    known.  Links with a null end, or from a node to itself, tell nothing.
     """
-    now = written(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    now = written(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", rows)
     before = None
     for _ in range(most_rounds):
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
@@ -55,8 +56,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large, "links")
+        large = written(large, "links", 2 * state[0])
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        now = written(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links", 2 * state[0])
     raise RuntimeError(f"links did not settle in {most_rounds} rounds")

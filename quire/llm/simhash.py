@@ -191,8 +191,8 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "do
     id but not a text are linked where that id is the least of both.
     """
     found = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    nodes = written(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    joined = components(links(nodes, radius))
+    nodes = written(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes", found.count())
+    joined = components(links(nodes, radius), rows=nodes.count())
     classes = nodes.join(joined, nodes["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return found.join(classes, "fp", "left").select(
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")

@@ -9,6 +9,9 @@ from contextlib import contextmanager
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
+#: Rows of a file, where there are more than the tasks that run at once would each write as one.
+FILE_ROWS = 100_000
+
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI or of an absolute path, and the path in it."""
@@ -52,12 +55,18 @@ def having(spark: SparkSession, **settings: str):
                 spark.conf.set(k, v)
 
 
-def written(df, name: str):
+def written(df, name: str, rows: int | None = None):
     """`df`, computed once and written as a table in the shared folder: it cuts lineage and survives lost executors.
 
     The shuffle files of the step go as it ends: nothing reads them any more.
+    `rows` is about how many rows there are, if known: few are then written by as
+    many tasks as run at once, however many parts a shuffle has.  Hadoop without its
+    native library starts three child processes for each file, to set permissions,
+    and each counts, as it starts, as another copy of its executor's memory.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     to = shared(spark, name)
     with having(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         df.write.parquet(to)

@@ -477,6 +477,21 @@ def test_components_of_chains_and_hubs(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_simhash_files_by_rows(spark):
+    """Tables of few rows are a few files each, however many parts a shuffle has: each file costs child processes of its executor."""
+    from pathlib import Path
+
+    from quire.llm.store import having
+
+    top, docs = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")), spark.read.parquet(f"{SF}/documents.parquet")
+    before = set(top.iterdir())
+    with having(spark, spark__sql__shuffle__partitions="40", spark__sql__adaptive__coalescePartitions__enabled="false"):
+        rows = simhash.groups(docs).collect()
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in set(top.iterdir()) - before if d.name.startswith(("nodes-", "links-"))}
+    assert len(files) > 1 and max(files.values()) <= spark.sparkContext.defaultParallelism, files
+    assert sorted(rows) == sorted(simhash.groups(docs).collect())
+
+
 def test_simhash_query(spark, texts):
     fps = {}
     for d, t in texts.items():
