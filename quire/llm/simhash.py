@@ -223,26 +223,31 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 3, least: float
             held = hashes(shingles(text, shingle))
             found = np.unique(held)
             key = xxhash.xxh64_intdigest(text, SEED)  # as Spark's xxhash64 has it
-            return _signed(key), similar.node_of(found), len(found), similar.prefix(found, seen.value, share), fingerprint(held)
+            return _signed(key), similar.node_of(found), len(found), similar.prefix(found, seen.value, share), similar.sketch(found), fingerprint(held)
 
-        return lambda ids, blobs: {"doc_id": ids} | dict(zip(("text_key", "node", "n", "prefix", "fp"), zip(*map(each, blobs), strict=True), strict=True))
+        return lambda ids, blobs: {"doc_id": ids} | dict(zip(("text_key", "node", "n", "prefix", "sketch", "fp"), zip(*map(each, blobs), strict=True), strict=True))
 
-    found = written(map_chunks(read, "doc_id long, text_key long, node long, n long, prefix array<long>, fp long", make), "fingerprints")
-    one = F.min(F.struct("doc_id", "text_key", "n", "prefix", "fp")).alias("one")
+    found = written(map_chunks(read, "doc_id long, text_key long, node long, n long, prefix array<long>, sketch binary, fp long", make), "fingerprints")
+    placed = written(found.select("doc_id", "text_key", "node"), "placed")
+    repeats = bool(placed.groupBy("doc_id", "text_key").count().where("count > 1").take(1))
+    one = F.min(F.struct("doc_id", "text_key", "n", "prefix", "sketch", "fp")).alias("one")
     nodes = written(found.groupBy("node").agg(one).select("node", "one.*"), "nodes")
-    reps = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
-    same = nodes.join(reps, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    sources = nodes.select("node", "doc_id", "text_key")
-    linked = similar.verified(same.unionByName(links(reps, radius)), read, sources, sets, share)
-    joined = components(similar.similar(nodes, read, sources, sets, share, linked))
-    placed = found.select("doc_id", "text_key", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    gone = placed.join(first, "component").where("struct(doc_id, text_key) <> first")
-    gone = written(gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct(), "gone")
+    released(found)
+    met = similar.meeting(nodes)
+    sources = written(nodes.drop("prefix"), "sources")
+    released(nodes)
+    reps = written(sources.groupBy("fp").agg(F.min("node").alias("rep")), "reps", sources.count())
+    same = sources.join(reps, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    linked = similar.verified(same.unionByName(links(reps, radius)), read, sources, sets, share, repeats)
+    joined = components(similar.similar(met, read, sources, sets, share, linked, repeats), rows=sources.count())
+    grouped = placed.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    gone = grouped.join(first, "component").where("struct(doc_id, text_key) <> first")
+    gone = written(gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct(), "gone", placed.count())
+    released(met, sources, reps, placed)
     key = F.xxhash64(F.coalesce(docs["text"].cast("binary"), F.lit("").cast("binary")))
     kept = docs.join(gone, (docs["doc_id"].cast("long") == gone["__gone_id"]) & (key == gone["__gone_key"]), "left_anti")
-    if found.groupBy("doc_id", "text_key").count().where("count > 1").take(1):
+    if repeats:
         named = kept.where("doc_id is not null").withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key")
         kept = named.unionByName(kept.where("doc_id is null"))
-    released(nodes, reps)
     return kept

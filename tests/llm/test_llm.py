@@ -15,7 +15,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, pii, queries, repeats, secrets, simhash, spans, tokens, topk, toxicity, trigrams, warc
+from quire.llm import bpe, decontaminate, pii, queries, repeats, secrets, similar, simhash, spans, tokens, topk, toxicity, trigrams, warc
 from quire.llm.components import Forest, components
 from quire.llm.store import shared
 
@@ -504,6 +504,37 @@ def test_simhash_query(spark, texts):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op8_simhash(spark, SF).collect()} == want
 
 
+def test_sketches_bound_from_above():
+    random.seed(5)
+    for _ in range(300):
+        pool = np.unique(np.array([random.getrandbits(64) for _ in range(random.choice([3, 80, 900]))], np.uint64))
+        a, b = (np.sort(pool[[random.random() < p for _ in pool]]) for p in (random.random(), random.random()))
+        most = similar.most_shared(len(a), similar.sketch(a), len(b), similar.sketch(b))
+        assert len(np.intersect1d(a, b)) <= most <= min(len(a) + len(b), 2 * len(pool))
+        assert similar.most_shared(len(a), similar.sketch(a), len(a), similar.sketch(a)) == len(a)
+    a, b = (np.unique(np.array([random.getrandbits(64) for _ in range(700)], np.uint64)) for _ in "ab")
+    assert similar.most_shared(len(a), similar.sketch(a), len(b), similar.sketch(b)) < 0.8 * 700  # of others, most are told
+
+
+def test_one_of_each_reads_few_sets(spark, monkeypatch):
+    """Texts that share rare shingles but are not alike are not read into sets, and what was read for a step goes with it."""
+    random.seed(8)
+    word = lambda: "w%d" % random.randrange(10**6)
+    rows = []
+    for _ in range(20):  # five texts each that share over half their words: similarity 0.3 to 0.4
+        base = [word() for _ in range(220)]
+        rows += [(len(rows) + k, " ".join([word() for _ in range(180)] + base)) for k in range(5)]
+    rows += [(len(rows), rows[0][1] + " more"), (len(rows) + 1, rows[0][1])]
+    made = {}
+    keep = similar.written
+    monkeypatch.setattr(similar, "written", lambda df, name, *a: made.setdefault(name, []).append(keep(df, name, *a)) or made[name][-1])
+    removed = []
+    monkeypatch.setattr(similar, "released", lambda *a: removed.extend(x.count() for x in a), raising=False)
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == set(range(100))
+    assert sum(t.count() for t in made["candidates"]) < 5 and sum(t.count() for t in made["sets"]) < 10 and removed
+
+
 def test_simhash_edges(spark, edges):
     rows = simhash.groups(edges).collect()
     by = {(r.doc_id, r.fp): r.component_id for r in rows}
