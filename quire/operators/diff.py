@@ -22,9 +22,13 @@ def regressions(baseline: DataFrame, current: DataFrame, keys: list[str], count:
     """(keys..., before, now, increase): counts that grew, each key for itself; no key's gain pays for another's loss."""
     b = baseline.select(*keys, F.col(count).cast("long").alias("before"))
     c = current.select(*keys, F.col(count).cast("long").alias("now"))
-    both = c.join(b, keys, "left").na.fill(0, ["before"])
-    grown = both.select(*keys, "before", "now", (F.col("now") - F.col("before")).alias("increase"))
-    return grown.where(F.col("increase") > least)
+    return grown(c.join(b, keys, "left").na.fill(0, ["before"]), keys, least)
+
+
+def grown(both: DataFrame, keys: list[str], least: int = 0) -> DataFrame:
+    """regressions of (keys..., before, now), where both counts are in one row."""
+    out = both.select(*keys, "before", "now", (F.col("now") - F.col("before")).alias("increase"))
+    return out.where(F.col("increase") > least)
 
 
 def same_set(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
