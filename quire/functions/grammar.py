@@ -72,29 +72,33 @@ def control_segments(record: Column | str) -> Column:
     Words before the first control are a segment of kind "text"; a word among the
     operands of a control opens none.  A null record has none.
     """
-    words = F.filter(F.split(_c(record), f"{SPACE}+"), lambda w: w != "")
-    marked = F.transform(words, lambda w, i: F.struct(i.alias("at"), control_kind(w).alias("kind")))
-    opening = F.filter(marked, lambda m: m["kind"] != "text")
     none = F.array().cast("array<struct<at:int,kind:string>>")
     last = lambda acc: F.try_element_at(acc, F.lit(-1))
-    kept = F.aggregate(
-        opening, none,
-        lambda acc, m: F.when(F.coalesce(m["at"] - last(acc)["at"] <= operand_count(last(acc)["kind"]), F.lit(False)), acc).otherwise(F.concat(acc, F.array(m))),
-    )
-    first = F.coalesce(F.get(kept, F.lit(0))["at"], F.size(words))
-    lead = F.struct(F.lit(-1).alias("at"), F.lit("text").alias("kind"))
-    starts = F.when(first > 0, F.concat(F.array(lead), kept)).otherwise(kept)
-
-    def segment(m: Column, i: Column) -> Column:
-        end = F.coalesce(F.get(starts, i + 1)["at"], F.size(words))
-        n = F.least(operand_count(m["kind"]), end - m["at"] - 1)
-        piece = lambda lo, size: F.array_join(F.slice(words, lo + 1, F.greatest(size, F.lit(0))), " ")
-        return F.struct(
-            m["kind"].alias("kind"), F.when(m["at"] >= 0, F.get(words, m["at"])).alias("opcode"),
-            F.slice(words, m["at"] + 2, n).alias("operands"), piece(m["at"] + 1 + n, end - m["at"] - 1 - n).alias("payload"),
-        )
 
-    return F.transform(starts, segment)
+    def openings(words: Column) -> Column:
+        marked = F.transform(words, lambda w, i: F.struct(i.alias("at"), control_kind(w).alias("kind")))
+        kept = F.aggregate(
+            F.filter(marked, lambda m: m["kind"] != "text"), none,
+            lambda acc, m: F.when(F.coalesce(m["at"] - last(acc)["at"] <= operand_count(last(acc)["kind"]), F.lit(False)), acc).otherwise(F.concat(acc, F.array(m))),
+        )
+        # Words before the first control follow one at -1.
+        lead = F.array(F.struct(F.lit(-1).alias("at"), F.lit("text").alias("kind")))
+        return F.filter(F.concat(lead, kept), lambda m, i: (i > 0) | ((F.size(words) > 0) & (control_kind(F.get(words, F.lit(0))) == "text")))
+
+    def segments(words: Column, starts: Column) -> Column:
+        def segment(m: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(starts, i + 1)["at"], F.size(words))
+            n = F.least(operand_count(m["kind"]), end - m["at"] - 1)
+            piece = lambda lo, size: F.array_join(F.slice(words, lo + 1, F.greatest(size, F.lit(0))), " ")
+            return F.struct(
+                m["kind"].alias("kind"), F.when(m["at"] >= 0, F.get(words, m["at"])).alias("opcode"),
+                F.slice(words, m["at"] + 2, n).alias("operands"), piece(m["at"] + 1 + n, end - m["at"] - 1 - n).alias("payload"),
+            )
+
+        return F.transform(starts, segment)
+
+    split = F.filter(F.split(_c(record), f"{SPACE}+"), lambda w: w != "")
+    return T.bound(split, lambda words: T.bound(openings(words), lambda starts: segments(words, starts)))
 
 
 def font_style(code: Column | str) -> Column:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once a row, however often and within whatever lambda f names it; plans grow fast where this nests deep."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def ascii_lower(x: Column | str) -> Column:
     return F.translate(_c(x), UPPER, LOWER)
 

@@ -166,3 +166,13 @@ def test_escaped_fields(spark):
     for r in df.collect():
         assert r["back"] == r["t"]
         assert not any(c in r["e"] for c in "\t\r\n")
+
+
+def test_segments_of_a_long_record_are_split_once(spark):
+    """Each use of the words in a lambda split and classified the whole record again."""
+    record = "lead " + " ".join(f"CPARENT {k} text{k}" for k in range(40))
+    df = spark.createDataFrame([(record,), (None,), ("CPARENT 1",)], "x string").select(G.control_segments("x").alias("v"))
+    assert df._jdf.queryExecution().optimizedPlan().expressions().toString().count("split(x#") == 1
+    got = [r.v for r in df.collect()]
+    assert [r["payload"] for r in got[0]] == ["lead", *(f"text{k}" for k in range(40))] and got[1] is None
+    assert [tuple(r) for r in got[2]] == [("parent", "CPARENT", ["1"], "")]
