@@ -49,14 +49,15 @@ def topic_number(record: Column | str) -> Column:
 
 def font_triples(operands: Column | str) -> Column:
     """Array of (column, length, code) of a font control's operands; null if a triple is incomplete or a length not positive."""
-    parts = F.filter(F.split(F.regexp_replace(F.trim(_c(operands)), ",$", ""), " +"), lambda x: x != "")
-    n = F.size(parts)
-    triples = F.transform(
-        F.sequence(F.lit(0), F.floor(n / 3).cast("int") - 1),
-        lambda i: F.struct(F.get(parts, i * 3).try_cast("int").alias("column"), F.get(parts, i * 3 + 1).try_cast("int").alias("length"), F.get(parts, i * 3 + 2).alias("code")),
-    )
-    fine = (n >= 3) & (n % 3 == 0)
-    return F.when(fine, F.when(F.forall(triples, lambda t: t["column"].isNotNull() & F.coalesce(t["length"] > 0, F.lit(False))), triples))
+    split = F.filter(F.split(F.regexp_replace(F.trim(_c(operands)), ",$", ""), " +"), lambda x: x != "")
+
+    def triples(parts: Column) -> Column:
+        of = lambda i: F.struct(F.get(parts, i).try_cast("int").alias("column"), F.get(parts, i + 1).try_cast("int").alias("length"), F.get(parts, i + 2).alias("code"))
+        whole = (F.size(parts) >= 3) & (F.size(parts) % 3 == 0)
+        return F.when(whole, F.transform(F.filter(F.transform(parts, lambda x, i: i), lambda i: i % 3 == 0), of))
+
+    fine = lambda t: F.forall(t, lambda x: x["column"].isNotNull() & F.coalesce(x["length"] > 0, F.lit(False)))
+    return T.bound(T.bound(split, triples), lambda t: F.when(fine(t), t))
 
 
 def font_definitions(control: Column | str) -> Column:

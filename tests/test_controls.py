@@ -54,3 +54,11 @@ def test_sequences(spark):
     t = spark.createDataFrame([("t", 1), ("t", 2), ("u", 1)], "topic string, tok int")
     r = t.where(F.col("tok") == 1)
     assert [tuple(x) for x in sequences.unaccounted(t, r, ["topic", "tok"], ["topic"]).collect()] == [("t", 1)]
+
+
+def test_font_operands_are_split_once(spark):
+    """Each use of a part in a lambda trimmed and split the operands again."""
+    operands = " ".join(f"{k} {k + 1} B" for k in range(60))
+    df = spark.createDataFrame([(operands,), (None,)], "x string").select(C.font_triples("x").alias("v"))
+    assert df._jdf.queryExecution().optimizedPlan().expressions().toString().count("trim(x#") == 1
+    assert [r.v and [tuple(t) for t in r.v] for r in df.collect()] == [[(k, k + 1, "B") for k in range(60)], None]
