@@ -61,6 +61,14 @@ def test_single_texts_are_counted_without_a_shuffle(spark):
     assert found(deficits(df)) == found(shuffled(df)) != []
 
 
+def test_deficits_and_totals_of_texts_that_share_a_topic(spark):
+    df = given(spark)
+    assert found(deficits(df)) == found(shuffled(df)) != []
+    assert found(multiset.deficit_totals(deficits(df), "t")) == found(multiset.deficit_totals(shuffled(df), "t"))
+    some = given(spark, [r for r in TEXTS if r[0] in (1, 3, 5)])
+    assert exchanges(multiset.deficit_totals(deficits(some), "t")) <= 2  # of totals, and the test's own
+
+
 def test_characters_and_units_in_texts(spark):
     df = given(spark)
     before, after = (multiset.characters(df, "t", c) for c in ("text", "md"))
