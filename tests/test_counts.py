@@ -69,6 +69,17 @@ def test_deficits_and_totals_of_texts_that_share_a_topic(spark):
     assert exchanges(multiset.deficit_totals(deficits(some), "t")) <= 2  # of totals, and the test's own
 
 
+def test_evidence_in_texts(spark):
+    df = given(spark, [(*r[:2], "", "") for r in TEXTS if r[0] is not None])
+    got = found(multiset.text_evidence(df, "t", "text", ["md", "html"], 0, 2))
+    wanted = shuffled(df).where("unaccounted > 0")
+    assert len(got) == wanted.count() and len({r[:2] for r in got}) == len(got)  # texts of one topic double no line
+    single = df.where("t <> 2")
+    assert [r for r in got if r[0] != 2] == found(multiset.evidence(single, wanted.where("t <> 2"), "t", most=2))
+    assert (5, "q", "q q q | q q | +1 more lines") in got
+    assert exchanges(multiset.text_evidence(single, "t", "text", ["md", "html"], 0)) <= 1  # the test's own repartition
+
+
 def test_characters_and_units_in_texts(spark):
     df = given(spark)
     before, after = (multiset.characters(df, "t", c) for c in ("text", "md"))
